@@ -1,0 +1,6 @@
+"""No streaming operators: curation and evaluation work on complete tables.
+
+The row-wise parts (filters, ``extract_qa``, ``with_conversation_fallback``,
+``curate``, ``grade`` and all column functions) are stateless and can be applied
+to a streaming DataFrame as they are.
+"""
