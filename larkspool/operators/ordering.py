@@ -12,7 +12,6 @@ from larkspool.fixed_values import BATCH_SIZE, HELD_OUT_CAP, SEED, TRAIN_AND_EVA
 from larkspool.functions.draws import draw_key
 from larkspool.operators.ranks import positions
 from larkspool.operators.sampling import PREFIX_DIGITS, mark_first
-from larkspool.operators.staging import stage
 
 
 def stratified_order(
@@ -82,11 +81,8 @@ def cap_splits(
     large = df.where(F.col("split").isin(capped))
     length = F.coalesce(*[F.when(F.col("split") == s, F.lit(sizes[s][0])) for s in capped])
     share = large.groupBy("split", label).agg(F.count(F.lit(1)).alias("_n"))
-    quota = stage(
-        share.select(
-            "split", label, F.least(F.rint(F.col("_n") / length * F.lit(cap)).cast("bigint"), "_n").alias("quota")
-        ),
-        "shares",
+    quota = share.select(
+        "split", label, F.least(F.rint(F.col("_n") / length * F.lit(cap)).cast("bigint"), "_n").alias("quota")
     )
     keyed = large.withColumn("_draw", draw_key(F.col(row_id), "cap", seed))
     marked = mark_first(keyed, quota, "_draw", row_id, ["split", label], "_picked").drop("_draw")

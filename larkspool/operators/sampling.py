@@ -56,21 +56,20 @@ def mark_first(
     counts = counts.withColumns(
         {"_ahead": F.coalesce(F.sum("_n").over(ahead), F.lit(0)), "_all": F.sum("_n").over(whole)}
     ).withColumn("_rest", F.least("quota", "_all") - F.col("_ahead"))
-    edge = stage(
-        counts.where((F.col("_rest") >= 1) & (F.col("_rest") <= F.col("_n"))).select(*strata, "_prefix", "_rest"),
-        "edges",
-    )
-    near = lookup_join(rows, edge, [*strata, "_prefix"], "_row", "inner")
+    edge = counts.where((F.col("_rest") >= 1) & (F.col("_rest") <= F.col("_n"))).select(*strata, "_prefix", "_rest")
     nth = F.row_number().over(Window.partitionBy(*strata, "_prefix").orderBy("_key", "_row"))
+    if not strata:
+        last = edge.first()
+        near = rows.where(F.col("_prefix") == last["_prefix"]) if last else None
+        cut = near.withColumn("_nth", nth).where(F.col("_nth") == last["_rest"]).first() if last else None
+        picked = _up_to(F.col(key), F.col(row_id), F.lit(cut["_key"]), F.lit(cut["_row"])) if cut else F.lit(False)
+        return df.withColumn(name, picked)
+    near = lookup_join(rows, stage(edge, "edges"), [*strata, "_prefix"], "_row", "inner")
     cuts = (
         near.withColumn("_nth", nth)
         .where(F.col("_nth") == F.col("_rest"))
         .select(*strata, F.col("_key").alias("_cut_key"), F.col("_row").alias("_cut_row"))
     )
-    if not strata:
-        cut = cuts.first()
-        picked = _up_to(F.col(key), F.col(row_id), F.lit(cut[0]), F.lit(cut[1])) if cut else F.lit(False)
-        return df.withColumn(name, picked)
     marked = lookup_join(df, stage(cuts, "cuts"), strata, row_id)
     picked = _up_to(F.col(key), F.col(row_id), F.col("_cut_key"), F.col("_cut_row"))
     return marked.withColumn(name, picked).drop("_cut_key", "_cut_row")
@@ -94,7 +93,7 @@ def _drawn(df: DataFrame, row_id: str, purpose: str, seed: int) -> DataFrame:
 
 
 def _mark_strata(df: DataFrame, size: int, row_id: str, source: str, seed: int) -> DataFrame:
-    quota = stage(allocate(df, size, source), "quota")
+    quota = allocate(df, size, source)
     return mark_first(_drawn(df, row_id, "strata", seed), quota, "_draw", row_id, [source], "_picked").drop("_draw")
 
 

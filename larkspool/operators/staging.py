@@ -8,10 +8,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: A lookup table up to this many bytes is broadcast.
-BROADCAST_BYTES = 32 << 20
+#: A staged lookup table whose files have up to this many bytes is broadcast.
+BROADCAST_BYTES = 8 << 20
 #: Beyond it, each lookup row is repeated this often so that one key spreads over many tasks.
 SALTS = 64
 
@@ -39,11 +38,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _bytes(df: DataFrame) -> int:
-    """Size of a staged table in memory: string bytes plus 8 per other field."""
-    text = [F.octet_length(f.name) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    width = sum((F.coalesce(c, F.lit(0)) for c in text), F.lit(8 * len(df.columns)))
-    return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+def known_bytes(df: DataFrame) -> int:
+    """Catalyst's size of ``df`` in bytes; for a staged table, the exact size of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: str, how: str = "left") -> DataFrame:
@@ -54,7 +51,7 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: s
     column, so a key that holds a large share of ``big`` is spread over many tasks.
     """
     keys = list(keys)
-    if _bytes(small) <= BROADCAST_BYTES:
+    if known_bytes(small) <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), keys, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (

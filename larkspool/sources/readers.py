@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,17 +21,21 @@ def read_raw(
 
     Paths hold JSON lines, or Parquet if the name ends in ``.parquet``.
     """
-    try:
+    if _exists(spark, name_or_path):
         if name_or_path.endswith(".parquet"):
             return spark.read.parquet(name_or_path)
         return read_jsonl(spark, name_or_path, schema)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
     table = spark.table(name_or_path)
     return table.where(F.col("split") == split) if "split" in table.columns else table
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file system of ``path`` has it; globs count if anything matches."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(system.globStatus(hadoop_path))
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Stored benchmark results: model and a map task -> metric -> value."""
     return read_jsonl(spark, path, RESULTS)
