@@ -22,11 +22,12 @@ def stratified_order(
     Rows sorted by label, and at random within a label, are dealt out in turn to
     ``ceil(n / batch_size)`` batches, which are then chained in random order. A
     batch is thus a systematic sample over the labels. The deal is arithmetic on
-    the row's rank; only row ids, labels and draw keys are shuffled.
+    the row's rank; only row ids, labels and draw keys are shuffled. ``df`` is
+    also counted, so pass a table.
     """
     keyed = df.select(row_id, label, draw_key(F.col(row_id), "order", seed).alias("_draw"))
     dealt = positions(keyed, [label, "_draw", row_id], "_rank")
-    total = dealt.count()
+    total = df.count()
     batches = max(1, math.ceil(total / batch_size))
     size, larger = divmod(total, batches)
 

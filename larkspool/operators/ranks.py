@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspool.operators.staging import stage
+from larkspool.operators.staging import is_small, stage
 
 # monotonically_increasing_id() = (partition << 33) + row within the partition.
 _ROW_BITS = 33
@@ -16,11 +16,20 @@ _ROW_BITS = 33
 def positions(df: DataFrame, order: Sequence[str], name: str = "pos", weight: str | None = None) -> DataFrame:
     """Add the 0-based position of each row in the total order given by ``order``.
 
-    One range shuffle sorts the rows over all tasks; ``order`` must end in a
+    A table known to be small is numbered by one window function. Otherwise one
+    range shuffle sorts the rows over all tasks; ``order`` must end in a
     unique column, so the range boundaries can also split a hot leading value.
     Each task numbers its own rows and the task sizes, one row per task, give the
     offsets. With ``weight``, ``<name>_weight`` is the weight sum of all earlier rows.
     """
+    if is_small(df):
+        sorted_rows = Window.orderBy(*order)
+        placed = df.withColumn(name, F.row_number().over(sorted_rows).cast("bigint") - 1)
+        if weight:
+            before = F.sum(weight).over(sorted_rows.rowsBetween(Window.unboundedPreceding, -1))
+            placed = placed.withColumn(f"{name}_weight", F.coalesce(before.cast("bigint"), F.lit(0)))
+        return placed
+
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = stage(ranged.withColumn("_id", F.monotonically_increasing_id()), "positions")
     task = F.shiftright("_id", _ROW_BITS)

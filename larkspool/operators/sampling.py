@@ -1,7 +1,7 @@
 """Exact samples in draw-key order, allocated per source.
 
-A sample of k rows is "the k smallest draw keys of the stratum". Instead of
-ranking a stratum, its k-th key is located: draw keys are uniform hexadecimal
+A sample of k rows is "the k smallest draw keys of the stratum". Only tables known
+to be small are ranked as a whole. Otherwise the k-th key is located: draw keys are uniform hexadecimal
 digests, so counting rows per (stratum, key prefix) shows which prefix holds the
 k-th row, and only the rows of that one prefix are ranked. The sample is then a
 comparison with the cut, evaluated in the scan; wide rows are never shuffled.
@@ -10,6 +10,7 @@ comparison with the cut, evaluated in the scan; wide rows are never shuffled.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from larkspool.fixed_values import SEED
 from larkspool.functions.draws import draw_key
 from larkspool.operators.ranks import positions
-from larkspool.operators.staging import lookup_join, stage
+from larkspool.operators.staging import is_small, lookup_join, stage
 
 #: Hexadecimal digits of the counting prefix: 4096 prefixes per stratum.
 PREFIX_DIGITS = 3
@@ -39,10 +40,18 @@ def mark_first(
     """Add the boolean ``name``: whether the row is among the first of its stratum by (key, row id).
 
     ``quota`` is a number, or a table of the strata columns and a bigint ``quota``;
-    a stratum that is null or not in the table has no quota. ``df`` is read three
-    times, of which twice only its strata, key and row id.
+    a stratum that is null or not in the table has no quota. Unless it is small,
+    ``df`` is read three times, of which twice only its strata, key and row id.
     """
     strata = list(strata)
+    if is_small(df):
+        nth = F.row_number().over(Window.partitionBy(*strata).orderBy(key, row_id))
+        if isinstance(quota, DataFrame):
+            marked = df.join(quota, strata, "left")
+            return marked.withColumn(name, F.coalesce(nth <= F.col("quota"), F.lit(False))).drop("quota")
+        has_stratum = [F.col(s).isNotNull() for s in strata]
+        return df.withColumn(name, reduce(Column.__and__, has_stratum, nth <= quota))
+
     rows = df.select(*strata, F.col(key).alias("_key"), F.col(row_id).alias("_row"))
     rows = rows.withColumn("_prefix", F.substring("_key", 1, digits))
     counts = rows.groupBy(*strata, "_prefix").agg(F.count(F.lit(1)).alias("_n"))

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 #: A staged lookup table whose files have up to this many bytes is broadcast.
 BROADCAST_BYTES = 8 << 20
-#: Beyond it, each lookup row is repeated this often so that one key spreads over many tasks.
+#: Beyond that size, each lookup row is repeated this often so that one key spreads over many tasks.
 SALTS = 64
+#: Tables of up to this many bytes are ranked by one window function instead of in several jobs.
+SMALL_TABLE_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,6 +45,11 @@ def known_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` is known to be small enough to be sorted by one task."""
+    return known_bytes(df) <= SMALL_TABLE_BYTES
+
+
 def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: str, how: str = "left") -> DataFrame:
     """Join ``big`` with a staged table that has at most one row per key.
 

@@ -64,10 +64,11 @@ def curate_dataset(
     unique = stage(first_pairs(usable, row_id).drop("question_key", "answer_key"), "unique")
     sample = proportional_sample(unique, size, row_id, seed=seed)
 
-    order = stratified_order(sample.where("has_answer"), "label", row_id, batch_size, seed)
-    order = stage(order, "order")
+    # Sampling precedes the boxed-answer filter.
+    kept = stage(sample.where("has_answer").select(row_id, "label"), "kept")
+    order = stage(stratified_order(kept, "label", row_id, batch_size, seed), "order")
     n_raw, n_clean, n_usable, n_unique = seen.get["all"], seen.get["clean"], usable.count(), unique.count()
-    n_sample, total = min(size, n_unique), order.count()
+    n_sample, total = min(size, n_unique), kept.count()
     if not total:
         raise ValueError("no record with a question and a boxed answer")
     chosen = cap_splits(assign_split(order, total), "label", row_id, cap, seed=seed)
