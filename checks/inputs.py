@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspool.operators.staging import spread
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for costly row-wise work. The given files have a single row group, hence a single task."""
+    return spread(table(spark, sf_dir, name))
+
+
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training records from ``documents``: the first line asks, the others answer.
 
@@ -26,7 +33,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(lang == "fr", F.concat(F.lit("x \\boxed{ "), size, F.lit(" } and \\boxed{")))
         .otherwise(F.concat(F.lit("\\boxed{0} or \\boxed{"), size, F.lit("}")))
     )
-    df = table(spark, sf_dir, "documents").select(
+    df = texts(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("row_id"), "text", "lang", "source", "n_chars",
         lines.alias("lines"), box.alias("box"),
     )
@@ -89,7 +96,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(discount == 0.0, F.concat(F.lit("I think it is "), answer)).otherwise(
         F.concat(F.lit("First \\boxed{0}, then \\boxed{ "), answer, F.lit(" }."))
     )
-    return table(spark, sf_dir, "lineitem").select(
+    return texts(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("item_id"),
         F.col("l_returnflag").alias("model"),
         "l_partkey",
@@ -155,4 +162,4 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token arrays from ``documents``: the length of each word."""
     words = F.transform(F.split("text", " "), F.length)
-    return table(spark, sf_dir, "documents").select("doc_id", words.alias("tokens"))
+    return texts(spark, sf_dir, "documents").select("doc_id", words.alias("tokens"))

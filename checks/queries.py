@@ -25,7 +25,7 @@ SPLIT_CAP = 500
 
 
 def _documents(spark, sf_dir, *columns):
-    return inputs.table(spark, sf_dir, "documents").select(*columns)
+    return inputs.texts(spark, sf_dir, "documents").select(*columns)
 
 
 def _sources(spark, sf_dir):
@@ -90,7 +90,7 @@ def dedup_question_answer(spark, sf_dir):
 
 
 def dedup_documents(spark, sf_dir):
-    docs = inputs.table(spark, sf_dir, "documents")
+    docs = inputs.texts(spark, sf_dir, "documents")
     return dedup.dedup_first(docs, text.normalize_text(F.col("text")), "doc_id").select("doc_id", "source")
 
 

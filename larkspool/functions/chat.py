@@ -15,6 +15,7 @@ from larkspool.fixed_values import (
     TURN_CLOSING,
     TURN_OPENING,
 )
+from larkspool.functions.binding import let
 
 
 @dataclass(frozen=True)
@@ -73,17 +74,20 @@ def mask_prompt(tokens: Column, template: list[int]) -> Column:
     The occurrence is found by one substring search over the comma-separated
     tokens, which is linear and stops at the first hit.
     """
-    listed = F.concat(F.lit(","), F.array_join(tokens, ",", ""), F.lit(","))
     wanted = F.lit("," + "".join(f"{t}," for t in template))
-    hit = F.position(wanted, listed)
-    # Tokens before the hit = commas before the hit.
-    before = F.substr(listed, F.lit(1), hit - 1)
-    masked = F.length(before) - F.length(F.replace(before, F.lit(","), F.lit(""))) + len(template)
-    labels = F.concat(
-        F.array_repeat(F.lit(IGNORED_LABEL), masked),
-        F.slice(tokens, masked + 1, F.size(tokens)),
-    )
-    return F.when(hit > 0, labels).otherwise(tokens)
+
+    def labels(listed: Column) -> Column:
+        # Tokens before the hit = commas before the hit.
+        before = F.substr(listed, F.lit(1), F.position(wanted, listed) - 1)
+        commas = F.length(before) - F.length(F.replace(before, F.lit(","), F.lit("")))
+        return let(commas + len(template), masked)
+
+    def masked(count: Column) -> Column:
+        ignored = F.array_repeat(F.lit(IGNORED_LABEL), count)
+        return F.concat(ignored, F.slice(tokens, count + 1, F.size(tokens)))
+
+    listed = F.concat(F.lit(","), F.array_join(tokens, ",", ""), F.lit(","))
+    return let(listed, lambda text: F.when(F.contains(text, wanted), labels(text)).otherwise(tokens))
 
 
 def completion_text(text: Column, template: str = RESPONSE_TEMPLATE) -> Column:

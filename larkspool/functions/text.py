@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larkspool.fixed_values import BOX_OPENING
+from larkspool.functions.binding import let
 
 # Every character that Unicode-aware text tools treat as white space, including
 # the four ASCII separators U+001C..U+001F that Java's \s leaves out.
@@ -26,6 +27,11 @@ def normalize_text(text: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.lower(text), f"(?U){_SPACE}+", ""), F.lit(""))
 
 
+def has_text(text: Column) -> Column:
+    """True if the normalized text is not empty; stops at the first character that is no white space."""
+    return F.coalesce(F.regexp_like(text, F.lit(r"(?U)[^\s\x1c-\x1f]")), F.lit(False))
+
+
 def strip_text(text: Column) -> Column:
     """Text without leading and trailing Unicode white space."""
     return F.regexp_replace(text, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
@@ -38,8 +44,6 @@ def boxed_answer(text: Column) -> Column:
     one. The fold keeps only integers (depth and offsets), so an unclosed box in
     front of a long text costs no string copies; the content is cut out once.
     """
-    tail = F.substr(text, F.locate(BOX_OPENING, text))
-
     def step(state: Column, token: Column) -> Column:
         depth, at = state["depth"], state["at"]
         opens = token == BOX_OPENING
@@ -62,11 +66,13 @@ def boxed_answer(text: Column) -> Column:
         F.lit(0).alias("last"),
         F.lit(0).alias("size"),
     )
-    box = F.aggregate(F.regexp_extract_all(tail, F.lit(_BOX_TOKENS), F.lit(1)), start, step)
-    content = F.transform(
-        F.array(box), lambda b: F.when(b["last"] > 0, strip_text(F.substr(tail, b["last"], b["size"])))
-    )[0]
-    return F.when(F.contains(text, F.lit(BOX_OPENING)), F.coalesce(content, F.lit(""))).otherwise(F.lit(""))
+
+    def last_box(tail: Column) -> Column:
+        fold = F.aggregate(F.regexp_extract_all(tail, F.lit(_BOX_TOKENS), F.lit(1)), start, step)
+        return let(fold, lambda box: F.when(box["last"] > 0, strip_text(F.substr(tail, box["last"], box["size"]))))
+
+    found = let(F.substr(text, F.locate(BOX_OPENING, text)), last_box)
+    return F.when(F.contains(text, F.lit(BOX_OPENING)), F.coalesce(found, F.lit(""))).otherwise(F.lit(""))
 
 
 def clean_answer(answer: Column) -> Column:

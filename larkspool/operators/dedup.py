@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspool.functions.text import normalize_text
-from larkspool.operators.filters import both_filled
+from larkspool.functions.text import has_text, normalize_text
+from larkspool.operators.filters import compute_and_keep
 
 
 def digest(text: Column) -> Column:
@@ -34,11 +34,13 @@ def dedup_first(df: DataFrame, key: Column, row_id: str) -> DataFrame:
 
 def qa_digests(df: DataFrame, question: Column, answer: Column, *keep: Column | str) -> DataFrame:
     """``keep`` plus digests of both normalized texts, for rows where neither is empty."""
-    texts = df.select(*keep, normalize_text(question).alias("_q"), normalize_text(answer).alias("_a"))
-    return texts.where(both_filled(F.col("_q"), F.col("_a"))).select(
-        *[c for c in texts.columns if c not in ("_q", "_a")],
-        digest(F.col("_q")).alias("question_key"),
-        digest(F.col("_a")).alias("answer_key"),
+    texts = compute_and_keep(
+        df, keep, {"_q": question, "_a": answer}, lambda row: has_text(row["_q"]) & has_text(row["_a"])
+    )
+    return texts.select(
+        *[name for name in texts.columns if name not in ("_q", "_a")],
+        digest(normalize_text(F.col("_q"))).alias("question_key"),
+        digest(normalize_text(F.col("_a"))).alias("answer_key"),
     )
 
 

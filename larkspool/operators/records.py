@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspool.fixed_values import SOURCE_COLUMN_MISSING, SOURCE_NULL
 from larkspool.functions.text import boxed_answer
-from larkspool.operators.filters import both_filled
+from larkspool.operators.filters import both_filled, compute_and_keep
 from larkspool.schemas import CONVERSATION_PART, QA_PART, with_missing
 
 
@@ -102,5 +102,9 @@ def with_curated(df: DataFrame) -> DataFrame:
 
 def curate(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Instruction, output, final answer and source of every record with a boxed answer."""
-    rows = with_curated(df).where(F.col("final_answer") != "")
-    return rows.select(row_id, "instruction", "output", "final_answer", F.col("label").alias("source"))
+    return compute_and_keep(
+        with_curated(df),
+        [row_id, "instruction", "output"],
+        {"final_answer": F.col("final_answer"), "source": F.col("label")},
+        lambda row: row["final_answer"] != "",
+    )

@@ -40,6 +40,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it may be too small to occupy them as it is stored.
+
+    A few files with one row group, or compressed JSON that cannot be split, give
+    fewer tasks than cores. Tables with at least one full split per core are left
+    where they are: there this would be a shuffle of everything for nothing.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if known_bytes(df) < cores * split else df
+
+
 def known_bytes(df: DataFrame) -> int:
     """Catalyst's size of ``df`` in bytes; for a staged table, the exact size of its files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
