@@ -15,6 +15,8 @@ BROADCAST_BYTES = 8 << 20
 SALTS = 64
 #: Tables of up to this many bytes are ranked by one window function instead of in several jobs.
 SMALL_TABLE_BYTES = 4 << 20
+#: Inputs of up to this many bytes are spread over all cores before costly row-wise work.
+SPREAD_BYTES = 1 << 30
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,16 +43,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, if it may be too small to occupy them as it is stored.
+    """``df`` over all cores, if it is small enough that moving it costs next to nothing.
 
     A few files with one row group, or compressed JSON that cannot be split, give
-    fewer tasks than cores. Tables with at least one full split per core are left
-    where they are: there this would be a shuffle of everything for nothing.
+    fewer tasks than cores. Larger tables stay as they are: there this would be a
+    shuffle of everything for nothing.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return df.repartition(cores) if known_bytes(df) < cores * split else df
+    small = known_bytes(df) <= SPREAD_BYTES
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
 
 
 def known_bytes(df: DataFrame) -> int:

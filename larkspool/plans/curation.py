@@ -19,17 +19,23 @@ from larkspool.operators.ordering import assign_split, cap_splits, stratified_or
 from larkspool.operators.records import extract_qa, with_curated
 from larkspool.operators.sampling import proportional_sample
 from larkspool.operators.staging import stage
+from larkspool.sources.writers import write_splits
 
 COLUMNS = ["instruction", "output", "final_answer", "source", "split", "pos"]
 
 
 @dataclass(frozen=True)
 class Curation:
-    """``rows`` of all splits, and ``audit``: rows into and out of every stage."""
+    """``rows`` of all splits, ``sizes`` of the splits, and ``audit``: rows into and out of every stage."""
 
     rows: DataFrame
+    sizes: dict[str, int]
     audit: DataFrame
 
+    def write(self, folder: str, rows_per_file: int = 1_000_000) -> None:
+        """Write the splits as JSON lines with the four curated fields."""
+        write_splits(self.rows.select(*COLUMNS), folder, self.sizes, rows_per_file)
+
 
 def candidates(raw: DataFrame, row_id: str = "row_id") -> DataFrame:
     """One narrow row per record with a question and an answer, from one pass over the texts.
@@ -73,10 +79,10 @@ def curate_dataset(
         raise ValueError("no record with a question and a boxed answer")
     chosen = cap_splits(assign_split(order, total), "label", row_id, cap, seed=seed)
     chosen = stage(chosen.select(row_id, "split", "pos"), "chosen")
-    per_split = dict(chosen.groupBy("split").count().collect())  # three rows
+    sizes = dict(chosen.groupBy("split").count().collect())  # three rows
 
     # Few rows wanted: find them first. Most wanted: first reduce records to what is written.
-    if chosen.count() * 2 < n_raw:
+    if sum(sizes.values()) * 2 < n_raw:
         rows = with_curated(raw.join(chosen, row_id))
     else:
         rows = with_curated(raw).select(row_id, *COLUMNS[:3], "label").join(chosen, row_id)
@@ -88,7 +94,7 @@ def curate_dataset(
         ("dedup", n_usable, n_unique),
         ("sample", n_unique, n_sample),
         ("boxed_answer", n_sample, total),
-        *[(split, total, per_split.get(split, 0)) for split in ("train", "eval", "test")],
+        *[(split, total, sizes.get(split, 0)) for split in ("train", "eval", "test")],
     ]
     audit = raw.sparkSession.createDataFrame(stages, "stage string, rows_in bigint, rows_out bigint")
-    return Curation(rows, audit)
+    return Curation(rows, sizes, audit)

@@ -13,10 +13,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
 #: Queries whose operators choose a physical strategy by size.
-SIZED = [
-    "stratified_sample", "sample_topup", "plain_sample", "hash_shuffle", "head_limit",
-    "stratified_order", "split_assign", "split_capped", "curated_splits",
-]
+SIZED = ["sample_topup", "split_capped", "curated_splits"]
 
 
 @pytest.fixture(scope="module")

@@ -111,3 +111,8 @@ def test_empty_table(spark, strategy):
     assert ids(sampling.proportional_sample(df, 10, "row_id")) == set()
     assert ids(sampling.plain_sample(df, 10, "row_id")) == set()
     assert sampling.shuffle_positions(df, "row_id").count() == 0
+
+
+def test_other_seed_other_sample(spark):
+    df = frame(spark, table())
+    assert ids(sampling.plain_sample(df, 100, "row_id", 1)) != ids(sampling.plain_sample(df, 100, "row_id", 2))
