@@ -15,7 +15,12 @@ from larkspool.operators.sampling import PREFIX_DIGITS, mark_first
 
 
 def stratified_order(
-    df: DataFrame, label: str, row_id: str, batch_size: int = BATCH_SIZE, seed: int = SEED
+    df: DataFrame,
+    label: str,
+    row_id: str,
+    batch_size: int = BATCH_SIZE,
+    seed: int = SEED,
+    total: int | None = None,
 ) -> DataFrame:
     """Row id and label with the position ``pos`` of an order whose every prefix is stratified.
 
@@ -23,11 +28,11 @@ def stratified_order(
     ``ceil(n / batch_size)`` batches, which are then chained in random order. A
     batch is thus a systematic sample over the labels. The deal is arithmetic on
     the row's rank; only row ids, labels and draw keys are shuffled. ``df`` is
-    also counted, so pass a table.
+    counted unless ``total`` is given, so pass a table.
     """
     keyed = df.select(row_id, label, draw_key(F.col(row_id), "order", seed).alias("_draw"))
     dealt = positions(keyed, [label, "_draw", row_id], "_rank")
-    total = df.count()
+    total = df.count() if total is None else total
     batches = max(1, math.ceil(total / batch_size))
     size, larger = divmod(total, batches)
 

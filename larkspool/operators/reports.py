@@ -35,13 +35,13 @@ def _heading(benchmark: Column) -> Column:
 
 def scores_by_experiment(scores: DataFrame) -> DataFrame:
     """One row per experiment, one column per benchmark."""
-    return scores.groupBy("experiment").pivot("benchmark", _NAMES).agg(F.first("score"))
+    return scores.groupBy("experiment").pivot("benchmark", _NAMES).agg(F.max("score"))
 
 
 def scores_by_benchmark(scores: DataFrame, experiments: Sequence[str]) -> DataFrame:
     """One row per benchmark in report order (``number``), one column per experiment that ran."""
     known = scores.where(_benchmark_number(F.col("benchmark")) > 0)
-    wide = known.groupBy("benchmark").pivot("experiment", list(experiments)).agg(F.first("score"))
+    wide = known.groupBy("benchmark").pivot("experiment", list(experiments)).agg(F.max("score"))
     return wide.withColumn("number", _benchmark_number(F.col("benchmark")))
 
 

@@ -130,14 +130,21 @@ def top_up(df: DataFrame, size: int, picked: str, row_id: str, seed: int = SEED)
     return marked.withColumn(picked, F.col("_more")).drop("_more", "_turn")
 
 
-def proportional_sample(df: DataFrame, size: int, row_id: str, source: str = "source", seed: int = SEED) -> DataFrame:
+def proportional_sample(
+    df: DataFrame,
+    size: int,
+    row_id: str,
+    source: str = "source",
+    seed: int = SEED,
+    total: int | None = None,
+) -> DataFrame:
     """Exactly ``size`` rows (all, if there are fewer) in the proportions of the sources.
 
     What rounding down and null sources leave over is drawn from all other rows.
-    Without a source column it is a plain sample. Pass a staged table: ``df`` is
-    read several times.
+    Without a source column it is a plain sample. Pass a staged table, as ``df``
+    is read several times, and its row count as ``total`` if it is known.
     """
-    if size >= df.count():
+    if size >= (df.count() if total is None else total):
         return df
     if source not in df.columns:
         return plain_sample(df, size, row_id, seed)

@@ -68,19 +68,19 @@ def curate_dataset(
     counted = raw.observe(seen, F.count(F.lit(1)).alias("all"), F.count_if(~bad).alias("clean"))
     usable = stage(candidates(counted, row_id), "candidates")
     unique = stage(first_pairs(usable, row_id).drop("question_key", "answer_key"), "unique")
-    sample = proportional_sample(unique, size, row_id, seed=seed)
-
+    n_unique = unique.count()
+    sample = proportional_sample(unique, size, row_id, seed=seed, total=n_unique)
     # Sampling precedes the boxed-answer filter.
     kept = stage(sample.where("has_answer").select(row_id, "label"), "kept")
-    order = stage(stratified_order(kept, "label", row_id, batch_size, seed), "order")
-    n_raw, n_clean, n_usable, n_unique = seen.get["all"], seen.get["clean"], usable.count(), unique.count()
-    n_sample, total = min(size, n_unique), kept.count()
+    total = kept.count()
     if not total:
         raise ValueError("no record with a question and a boxed answer")
+    order = stage(stratified_order(kept, "label", row_id, batch_size, seed, total), "order")
     chosen = cap_splits(assign_split(order, total), "label", row_id, cap, seed=seed)
     chosen = stage(chosen.select(row_id, "split", "pos"), "chosen")
     sizes = dict(chosen.groupBy("split").count().collect())  # three rows
 
+    n_raw, n_clean, n_usable = seen.get["all"], seen.get["clean"], usable.count()
     # Few rows wanted: find them first. Most wanted: first reduce records to what is written.
     if sum(sizes.values()) * 2 < n_raw:
         rows = with_curated(raw.join(chosen, row_id))
@@ -92,8 +92,8 @@ def curate_dataset(
         ("source_filter", n_raw, n_clean),
         ("non_empty", n_clean, n_usable),
         ("dedup", n_usable, n_unique),
-        ("sample", n_unique, n_sample),
-        ("boxed_answer", n_sample, total),
+        ("sample", n_unique, min(size, n_unique)),
+        ("boxed_answer", min(size, n_unique), total),
         *[(split, total, sizes.get(split, 0)) for split in ("train", "eval", "test")],
     ]
     audit = raw.sparkSession.createDataFrame(stages, "stage string, rows_in bigint, rows_out bigint")

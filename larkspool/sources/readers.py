@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspool.operators.staging import stage
 from larkspool.schemas import RAW, RESULTS
 
 
@@ -29,6 +30,16 @@ def read_raw(
     return table.where(F.col("split") == split) if "split" in table.columns else table
 
 
+def ingest(df: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Give records without a stable id one, once, and keep them in the shared folder.
+
+    The ids are unique and increase with the line number within a file. They are
+    stored with the records because numbering anew could give other ids. On the
+    way, JSON becomes Parquet, which later passes read by column.
+    """
+    return stage(df.withColumn(row_id, F.monotonically_increasing_id()), "ingested")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether the file system of ``path`` has it; globs count if anything matches."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -25,7 +25,7 @@ def ordered(df):
     return [r.row_id for r in rows]
 
 
-@pytest.mark.parametrize("n", [1, 33, 1000])
+@pytest.mark.parametrize("n", [1, 1000])
 def test_order_equals_model(spark, strategy, n):
     rows = table(n)
     assert ordered(ordering.stratified_order(frame(spark, rows), "label", "row_id")) == models.stratified(rows)
@@ -65,7 +65,7 @@ def test_splits_are_disjoint_and_complete(spark):
     assert ends == {"train": int(777 * 0.90), "eval": int(777 * 0.95), "test": 777}
 
 
-@pytest.mark.parametrize("cap", [10, 49, 50])
+@pytest.mark.parametrize("cap", [10, 49])
 def test_caps_equal_model(spark, strategy, cap):
     rows = table(1000)
     labels = dict(rows)
