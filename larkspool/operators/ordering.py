@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from larkspool.fixed_values import BATCH_SIZE, HELD_OUT_CAP, SEED, TRAIN_AND_EVAL_SHARE, TRAIN_SHARE
 from larkspool.functions.draws import draw_key
 from larkspool.operators.ranks import positions
-from larkspool.operators.sampling import PREFIX_DIGITS, mark_first
+from larkspool.operators.sampling import mark_first
 
 
 def stratified_order(
@@ -94,9 +94,8 @@ def cap_splits(
     marked = mark_first(keyed, quota, "_draw", row_id, ["split", label], "_picked").drop("_draw")
     # Repair: picked rows first, then all others, each in random order; keep the first `cap`.
     turn = F.concat(F.when(F.col("_picked"), "0").otherwise("1"), draw_key(F.col(row_id), "repair", seed))
-    kept = mark_first(
-        marked.withColumn("_turn", turn), cap, "_turn", row_id, ["split"], "_kept", PREFIX_DIGITS + 1
-    ).where("_kept")
+    kept = mark_first(marked.withColumn("_turn", turn), cap, "_turn", row_id, ["split"], "_kept", fixed=1)
+    kept = kept.where("_kept")
     # At most `cap` rows per split.
     mixed = Window.partitionBy("split").orderBy(draw_key(F.col(row_id), "mix", seed), row_id)
     kept = kept.withColumn("pos", F.row_number().over(mixed).cast("bigint") - 1)

@@ -1,10 +1,12 @@
 """Exact samples in draw-key order, allocated per source.
 
 A sample of k rows is "the k smallest draw keys of the stratum". Only tables known
-to be small are ranked as a whole. Otherwise the k-th key is located: draw keys are uniform hexadecimal
-digests, so counting rows per (stratum, key prefix) shows which prefix holds the
-k-th row, and only the rows of that one prefix are ranked. The sample is then a
-comparison with the cut, evaluated in the scan; wide rows are never shuffled.
+to be small are ranked as a whole. Otherwise the k-th key is located: draw keys
+are uniform hexadecimal digests, so counting rows per (stratum, key prefix) shows
+which prefix holds the k-th row, and only the rows of that one prefix are ranked.
+Large strata are counted by longer prefixes, so that there are few counts per
+stratum and few rows per prefix, whatever the sizes of the strata. The sample is
+then a comparison with the cut, evaluated in the scan; wide rows are never shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from larkspool.functions.draws import draw_key
 from larkspool.operators.ranks import positions
 from larkspool.operators.staging import is_small, lookup_join, stage
 
-#: Hexadecimal digits of the counting prefix: 4096 prefixes per stratum.
+#: A stratum is counted by prefixes of about this many rows, at least a sixteenth of it.
+ROWS_PER_PREFIX = 50_000
+#: Hexadecimal digits of the prefix when the whole table is one stratum: 4096 counts.
 PREFIX_DIGITS = 3
 
 
@@ -28,6 +32,34 @@ def _up_to(key: Column, row: Column, cut_key: Column, cut_row: Column) -> Column
     return F.coalesce((key < cut_key) | ((key == cut_key) & (row <= cut_row)), F.lit(False))
 
 
+def _edge(counts: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """From rows ``_n`` per stratum and prefix: the prefix with the quota's last row, and its rank ``_rest`` there."""
+    whole = Window.partitionBy(*strata)
+    ahead = whole.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumns(
+        {"_ahead": F.coalesce(F.sum("_n").over(ahead), F.lit(0)), "_all": F.sum("_n").over(whole)}
+    ).withColumn("_rest", F.least("_quota", "_all") - F.col("_ahead"))
+    holds = (F.col("_rest") >= 1) & (F.col("_rest") <= F.col("_n"))
+    return placed.where(holds).select(*strata, "_prefix", "_rest")
+
+
+def _nth(*groups: str) -> Column:
+    return F.row_number().over(Window.partitionBy(*groups).orderBy("_key", "_row"))
+
+
+def _mark_whole(df: DataFrame, quota: int, key: str, row_id: str, name: str, fixed: int) -> DataFrame:
+    """``mark_first`` for a table that is one stratum: the cut becomes a literal."""
+    rows = df.select(F.col(key).alias("_key"), F.col(row_id).alias("_row"))
+    rows = rows.withColumn("_prefix", F.substring("_key", 1, fixed + PREFIX_DIGITS))
+    counts = rows.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n")).withColumn("_quota", F.lit(quota))
+    edge = _edge(counts, []).first()
+    if edge is None:
+        return df.withColumn(name, F.lit(False))
+    near = rows.where(F.col("_prefix") == edge["_prefix"]).withColumn("_nth", _nth("_prefix"))
+    cut = near.where(F.col("_nth") == edge["_rest"]).first()
+    return df.withColumn(name, _up_to(F.col(key), F.col(row_id), F.lit(cut["_key"]), F.lit(cut["_row"])))
+
+
 def mark_first(
     df: DataFrame,
     quota: DataFrame | int,
@@ -35,13 +67,15 @@ def mark_first(
     row_id: str,
     strata: Sequence[str] = (),
     name: str = "picked",
-    digits: int = PREFIX_DIGITS,
+    fixed: int = 0,
 ) -> DataFrame:
     """Add the boolean ``name``: whether the row is among the first of its stratum by (key, row id).
 
     ``quota`` is a number, or a table of the strata columns and a bigint ``quota``;
-    a stratum that is null or not in the table has no quota. Unless it is small,
-    ``df`` is read three times, of which twice only its strata, key and row id.
+    a stratum that is null or not in the table has no quota. The key consists of
+    random hexadecimal digits after ``fixed`` leading characters of another kind.
+    Unless it is small, ``df`` is read four times, of which three times only its
+    strata, key and row id.
     """
     strata = list(strata)
     if is_small(df):
@@ -51,34 +85,25 @@ def mark_first(
             return marked.withColumn(name, F.coalesce(nth <= F.col("quota"), F.lit(False))).drop("quota")
         has_stratum = [F.col(s).isNotNull() for s in strata]
         return df.withColumn(name, reduce(Column.__and__, has_stratum, nth <= quota))
+    if not strata:
+        return _mark_whole(df, quota, key, row_id, name, fixed)
 
     rows = df.select(*strata, F.col(key).alias("_key"), F.col(row_id).alias("_row"))
-    rows = rows.withColumn("_prefix", F.substring("_key", 1, digits))
-    counts = rows.groupBy(*strata, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("_size"))
     if isinstance(quota, DataFrame):
-        counts = counts.join(quota, strata)
+        sizes = sizes.join(quota.withColumnRenamed("quota", "_quota"), strata)
     else:
-        counts = counts.withColumn("quota", F.lit(quota).cast("bigint"))
-    # At most 16**digits rows per stratum.
-    whole = Window.partitionBy(*strata)
-    ahead = whole.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumns(
-        {"_ahead": F.coalesce(F.sum("_n").over(ahead), F.lit(0)), "_all": F.sum("_n").over(whole)}
-    ).withColumn("_rest", F.least("quota", "_all") - F.col("_ahead"))
-    edge = counts.where((F.col("_rest") >= 1) & (F.col("_rest") <= F.col("_n"))).select(*strata, "_prefix", "_rest")
-    nth = F.row_number().over(Window.partitionBy(*strata, "_prefix").orderBy("_key", "_row"))
-    if not strata:
-        last = edge.first()
-        near = rows.where(F.col("_prefix") == last["_prefix"]) if last else None
-        cut = near.withColumn("_nth", nth).where(F.col("_nth") == last["_rest"]).first() if last else None
-        picked = _up_to(F.col(key), F.col(row_id), F.lit(cut["_key"]), F.lit(cut["_row"])) if cut else F.lit(False)
-        return df.withColumn(name, picked)
-    near = lookup_join(rows, stage(edge, "edges"), [*strata, "_prefix"], "_row", "inner")
-    cuts = (
-        near.withColumn("_nth", nth)
-        .where(F.col("_nth") == F.col("_rest"))
-        .select(*strata, F.col("_key").alias("_cut_key"), F.col("_row").alias("_cut_row"))
+        sizes = sizes.withColumn("_quota", F.lit(quota).cast("bigint"))
+    digits = F.ceil(F.log(F.col("_size") / ROWS_PER_PREFIX) / F.log(F.lit(16.0)))
+    wanted = sizes.where("_quota >= 1").select(
+        *strata, "_quota", F.greatest(digits, F.lit(0)).cast("int").alias("_digits")
     )
+    rows = lookup_join(rows, stage(wanted, "strata"), strata, "_row", "inner")
+    rows = rows.withColumn("_prefix", F.substr("_key", F.lit(1), F.col("_digits") + fixed))
+    counts = rows.groupBy(*strata, "_prefix").agg(F.count(F.lit(1)).alias("_n"), F.max("_quota").alias("_quota"))
+    near = lookup_join(rows, stage(_edge(counts, strata), "edges"), [*strata, "_prefix"], "_row", "inner")
+    cuts = near.withColumn("_nth", _nth(*strata, "_prefix")).where(F.col("_nth") == F.col("_rest"))
+    cuts = cuts.select(*strata, F.col("_key").alias("_cut_key"), F.col("_row").alias("_cut_row"))
     marked = lookup_join(df, stage(cuts, "cuts"), strata, row_id)
     picked = _up_to(F.col(key), F.col(row_id), F.col("_cut_key"), F.col("_cut_row"))
     return marked.withColumn(name, picked).drop("_cut_key", "_cut_row")
@@ -124,9 +149,7 @@ def top_up(df: DataFrame, size: int, picked: str, row_id: str, seed: int = SEED)
     quota goes to the smallest draw keys among the others.
     """
     turn = F.concat(F.when(F.col(picked), "0").otherwise("1"), draw_key(F.col(row_id), "topup", seed))
-    marked = mark_first(
-        df.withColumn("_turn", turn), size, "_turn", row_id, name="_more", digits=PREFIX_DIGITS + 1
-    )
+    marked = mark_first(df.withColumn("_turn", turn), size, "_turn", row_id, name="_more", fixed=1)
     return marked.withColumn(picked, F.col("_more")).drop("_more", "_turn")
 
 

@@ -26,10 +26,11 @@ def spark(tmp_path_factory):
 @pytest.fixture(params=["small", "large", "salted"])
 def strategy(request, monkeypatch):
     """Run a test once per physical strategy: one window, distributed, distributed without broadcasts."""
-    from larkspool.operators import staging
+    from larkspool.operators import sampling, staging
 
     if request.param != "small":
         monkeypatch.setattr(staging, "SMALL_TABLE_BYTES", -1)
+        monkeypatch.setattr(sampling, "ROWS_PER_PREFIX", 3)
     if request.param == "salted":
         monkeypatch.setattr(staging, "BROADCAST_BYTES", -1)
     return request.param
