@@ -27,7 +27,11 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
-    assert difference(QUERIES[name](spark, SF_DIR), db, ORACLE[name]) is None
+    df = QUERIES[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"):
+        assert unwanted not in plan
+    assert difference(df, db, ORACLE[name]) is None
 
 
 @pytest.mark.parametrize("name", SIZED)
