@@ -62,14 +62,17 @@ def staged_bytes(df: DataFrame) -> int:
 
 
 def join_by_id(docs: DataFrame, lookup: DataFrame, key: str, how: str) -> DataFrame:
-    """Join wide rows with a staged table of ids.
+    """Join wide rows with a staged table of ids; a null id meets a null id.
 
     If the staged files have at most ID_BROADCAST_BYTES the ids are broadcast and the
     texts stay where they are; else both sides are shuffled by the id. The answer
     is the same.
     """
     small = staged_bytes(lookup) <= ID_BROADCAST_BYTES
-    return docs.join(F.broadcast(lookup) if small else lookup.hint("merge"), key, how)
+    own = fresh("lookup_id", [*docs.columns, *lookup.columns])
+    lookup = lookup.withColumnRenamed(key, own)
+    joined = docs.join(F.broadcast(lookup) if small else lookup.hint("merge"), docs[key].eqNullSafe(lookup[own]), how)
+    return joined.drop(own)
 
 
 def share(spark: SparkSession, value: object) -> Callable[[], object]:

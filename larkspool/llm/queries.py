@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspool.llm import decontamination, toxicity
+from larkspool.llm import decontamination, line_dedup, packing, toxicity, url_filters, warc
 from larkspool.llm.common import ensure_folder
 
 
@@ -14,6 +14,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that at least 10 documents have."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.dedup_lines(docs, threshold=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; labels of a quarter of the ids are held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,9 +47,116 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, written to a content-addressed archive and read back."""
+    records = warc.read_archive(warc.write_archive(_table(spark, sf_dir, "pages")))
+    return records.select(
+        "page_id",
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        "refers_to",
+    )
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed rows of 2,048 token ids."""
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.Tokenizer.read())
+
+
+def _digit(text: str, at: int) -> str:
+    return f"(instr('0123456789abcdef', substr(md5({text}), {at}, 1)) - 1)"
+
+
+#: The pages have no fetch times and there is no list: both are made from the pages' own ids and URLs, alike in
+#: both SQL dialects. Every host gets a block and a removal, its domain a block, its language section an exception.
+_DAY = "(16 * {a} + {b})"
+_CAPTURES = f"""
+    SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host,
+           regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)', 1) AS section,
+           2 * {_DAY.format(a=_digit("CAST(page_id AS STRING)", 1), b=_digit("CAST(page_id AS STRING)", 2))} AS day
+    FROM pages
+"""
+_ENTRIES = f"""
+    SELECT DISTINCT host AS pattern, 'block' AS action, {_DAY.format(a=_digit("host", 3), b=_digit("host", 4))} AS day FROM captures
+    UNION ALL
+    SELECT DISTINCT host, 'remove', 200 + {_DAY.format(a=_digit("host", 5), b=_digit("host", 6))} FROM captures
+    UNION ALL
+    SELECT DISTINCT regexp_extract(host, '([^.]+[.][^.]+)$', 1), 'block', 300 + {_digit("host", 7)} FROM captures
+    UNION ALL
+    SELECT DISTINCT concat(host, '/', section), 'allow', 100 + {_digit("concat(host, section)", 1)} FROM captures
+"""
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule in force for every page on its day of capture."""
+    pages = _table(spark, sf_dir, "pages")
+    captures = spark.sql(_CAPTURES.replace("FROM pages", "FROM {pages}"), pages=pages)
+    entries = spark.sql(_ENTRIES.replace("FROM captures", "FROM {captures}"), captures=captures)
+    entries = entries.withColumn("effective", F.timestamp_seconds(F.col("day") * 86_400))
+    captures = captures.withColumn("fetch_time", F.timestamp_seconds(F.col("day") * 86_400))
+    found = url_filters.evaluate(captures, entries)
+    day = (F.unix_timestamp("fetch_time") / 86_400).cast("bigint").alias("fetch_day")
+    return found.select("page_id", day, "pattern", "action", "blocked")
+
+
+_OP10 = f"""
+    WITH captures AS ({_CAPTURES}), entries AS ({_ENTRIES}),
+    ranked AS (
+        SELECT pattern, day, max(CASE action WHEN 'block' THEN 3 WHEN 'allow' THEN 2 ELSE 1 END) AS r
+        FROM entries WHERE pattern IS NOT NULL GROUP BY ALL
+    ),
+    spans AS (
+        SELECT pattern, r, day AS start, coalesce(lead(day) OVER (PARTITION BY pattern ORDER BY day), 1000000) AS stop
+        FROM ranked
+    ),
+    rules AS (
+        SELECT page_id, day, pattern, r, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC) AS n
+        FROM captures JOIN spans ON day >= start AND day < stop AND r > 1
+         AND (host = pattern OR ends_with(host, '.' || pattern)
+              OR starts_with(regexp_extract(url, '://([^?#]*)', 1) || '/', pattern || '/') AND contains(pattern, '/'))
+    )
+    SELECT c.page_id, CAST(c.day AS BIGINT) AS fetch_day, pattern,
+           CASE r WHEN 3 THEN 'block' WHEN 2 THEN 'allow' END AS action, coalesce(r = 3, false) AS blocked
+    FROM captures c LEFT JOIN (SELECT * FROM rules WHERE n = 1) x USING (page_id)
+"""
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op6_warc": op6_warc,
+    "op8_packing": op8_packing,
+    "op10_url_filters": op10_url_filters,
 }
 
-ORACLE: dict[str, str] = {}
+# \\x0b and \\x0c stand for the two control characters among white space.
+_OP1 = """
+    WITH lines AS (
+        SELECT doc_id, i, line, lower_ascii, count(DISTINCT doc_id) OVER (PARTITION BY lower_ascii) AS df
+        FROM (
+            SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
+            FROM (
+                SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                       generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+                FROM documents
+            )
+        )
+    )
+    SELECT doc_id, count(*) AS n_lines, count_if(df >= 10 AND lower_ascii <> '') AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT (df >= 10 AND lower_ascii <> '')), '')) AS kept_sha256
+    FROM lines GROUP BY doc_id
+"""
+
+_OP6 = """
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+           NULL AS payload_digest, record_type, refers_to
+    FROM (
+        SELECT *, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+    )
+"""
+
+ORACLE: dict[str, str] = {"op1_line_dedup": _OP1, "op10_url_filters": _OP10}
