@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspool.llm import decontamination, line_dedup, packing, toxicity, url_filters, warc
+from larkspool.llm import decontamination, line_dedup, ngram_join, packing, toxicity, url_filters, warc
 from larkspool.llm.common import ensure_folder
 
 
@@ -59,6 +59,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by a Jaccard similarity of 0.9 or more of their 3-word shingles."""
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as packed rows of 2,048 token ids."""
     return packing.pack(_table(spark, sf_dir, "documents"), packing.Tokenizer.read())
@@ -126,6 +131,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op6_warc": op6_warc,
+    "op7_ngram_join": op7_ngram_join,
     "op8_packing": op8_packing,
     "op10_url_filters": op10_url_filters,
 }
