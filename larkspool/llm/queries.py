@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspool.llm import decontamination, line_dedup, ngram_join, packing, toxicity, url_filters, warc
+from larkspool.llm import decontamination, line_dedup, ngram_join, packing, toxicity, url_filters, vectors, warc
 from larkspool.llm.common import ensure_folder
 
 
@@ -47,6 +47,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked by a cosine of 0.95 or more."""
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of all pages, written to a content-addressed archive and read back."""
     records = warc.read_archive(warc.write_archive(_table(spark, sf_dir, "pages")))
@@ -130,6 +135,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op5_vectors": op5_vectors,
     "op6_warc": op6_warc,
     "op7_ngram_join": op7_ngram_join,
     "op8_packing": op8_packing,
