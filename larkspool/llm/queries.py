@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspool.llm import decontamination, line_dedup, ngram_join, packing, toxicity, url_filters, vectors, warc
+from larkspool.llm import decontamination, line_dedup, ngram_join, packing, suffix_dedup, toxicity, url_filters, vectors, warc
 from larkspool.llm.common import ensure_folder
 
 
@@ -74,6 +74,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), packing.Tokenizer.read())
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes covered by a 200-byte string that also starts elsewhere."""
+    kept = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _digit(text: str, at: int) -> str:
     return f"(instr('0123456789abcdef', substr(md5({text}), {at}, 1)) - 1)"
 
@@ -139,6 +145,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_ngram_join": op7_ngram_join,
     "op8_packing": op8_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filters": op10_url_filters,
 }
 
