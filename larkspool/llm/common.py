@@ -5,11 +5,10 @@ from __future__ import annotations
 import pickle
 import re
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +18,8 @@ from larkspool.operators.staging import stage
 
 #: A staged id table of up to this many bytes is broadcast; a larger one is joined by a shuffle.
 ID_BROADCAST_BYTES = 8 << 20
-#: Words whose hashes a task remembers at a time.
+#: Words that a task remembers at a time.
 REMEMBERED_WORDS = 400_000
-_LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)
@@ -81,19 +79,6 @@ def share(spark: SparkSession, value: object) -> Callable[[], object]:
     return lambda: pickle.loads(data.value)
 
 
-class WordHashes(dict):
-    """Hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (wrapping arithmetic)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -101,6 +86,71 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_WHITE = b" \t\n\x0b\x0c\r"
+_IS_WHITE = np.zeros(256, bool)
+_IS_WHITE[list(_WHITE)] = True
+#: Bytes whose words are hashed at a time.
+_PIECE = 1 << 18
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BYTE[65:91] = _BYTE[97:123]
+_BASE = np.uint64(0xD1342543DE82EF97)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base)]))
+
+
+_POWERS, _INVERSES = _powers(_BASE, _PIECE), _powers(_INVERSE, _PIECE)
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of a piece: polynomials of random byte values, from prefix sums."""
+    text = np.frombuffer(data, np.uint8)
+    n = len(text)
+    powers, inverses = (_POWERS, _INVERSES) if n <= _PIECE else (_powers(_BASE, n), _powers(_INVERSE, n))
+    edges = np.flatnonzero(np.diff(_IS_WHITE[text], prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[text] * powers[:n])])
+    return mix((prefix[ends] - prefix[starts]) * inverses[starts]), starts
+
+
+def word_hashes(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """For each text the 64-bit hashes of its words: what ASCII white space separates, A-Z lower-cased."""
+    group: list[bytes] = []
+    size = 0
+
+    def flush() -> Iterator[np.ndarray]:
+        nonlocal size
+        hashes, starts = _hashed(b"\n".join(group))
+        first = np.cumsum([0] + [len(t) + 1 for t in group])
+        cut = np.searchsorted(starts, first)
+        yield from (hashes[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True))
+        group.clear()
+        size = 0
+
+    for text in texts:
+        text = text or b""
+        if group and size + len(text) >= _PIECE:
+            yield from flush()
+        if len(text) < _PIECE:
+            group.append(text)
+            size += len(text) + 1
+            continue
+        found, at = [], 0
+        while at < len(text):  # a long text, in pieces that end at white space
+            end = at + _PIECE
+            if end < len(text):
+                cut = max(text.rfind(bytes([c]), at, end) for c in _WHITE)
+                after = [p for c in _WHITE if (p := text.find(bytes([c]), end)) >= 0] if cut <= at else []
+                end = cut if cut > at else min(after, default=len(text))
+            found.append(_hashed(text[at:end])[0])
+            at = end
+        yield np.concatenate(found)
+    if group:
+        yield from flush()
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
@@ -112,6 +162,6 @@ def extended(schema: StructType, extra: str, keep: list[str] | None = None) -> S
 
 
 __all__ = [
-    "FOLD", "FOLDED_WORD", "WordHashes", "ensure_folder", "fresh", "join_by_id", "extended", "mix",
-    "share", "signed", "stage", "staged_bytes", "utf8",
+    "FOLD", "FOLDED_WORD", "ensure_folder", "fresh", "join_by_id", "extended", "mix",
+    "share", "signed", "stage", "staged_bytes", "utf8", "word_hashes",
 ]

@@ -19,11 +19,12 @@ A bounded sample of SAMPLE documents tells which elements are frequent and what
 costs a band, in index entries and in pairs that meet. The choice changes costs, never links.
 
 Equal sets are one node. Entries are counted per key first (with a partial sum in each task),
-so only entries of shared keys meet. A shared key does not yield all its pairs: a pivot, the
-member with the most company, is compared with the members that are not yet known
-to be connected with it, and leaves the group; groups that lie in one component
-are done. When what is left is few pairs, all of them are compared. Pairs are verified by the
-n-gram sets of the texts themselves, 64-bit hashes of whole n-grams.
+so only entries of shared keys meet. A large group does not yield all its pairs: a few pivots,
+among them the member with the most company, are compared with the members that are not yet
+known to be connected with them, and leave the group; groups that lie in one component are
+done, the others get more pivots in the next round. Groups of SMALL_GROUP members or fewer are
+compared as a whole. Pairs are verified by the n-gram sets of the texts themselves, 64-bit
+hashes of whole n-grams.
 
 Null and empty texts and texts without words have no n-grams and link with nothing; texts of
 fewer words than n have their whole sequence. A null id links with nothing and gets no
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspool.llm.common import WordHashes, join_by_id, mix, share, signed, stage, utf8
+from larkspool.llm.common import join_by_id, mix, share, signed, stage, utf8, word_hashes
 from larkspool.llm.graph import components
 
 #: Documents in the sample that costs are measured on, and how many of them make an element frequent.
@@ -50,31 +51,33 @@ SAMPLE, FREQUENT = 5_000, 6
 RESERVE = 1.15
 #: What a pair that meets costs, in index entries.
 PAIR_COST = 2.0
-#: All remaining pairs are compared at once if there are at most so many per remaining entry.
-FEW_PAIRS = 4
-#: Copies of a group's pivot that its members are dealt over.
+#: Groups of up to so many members have all their pairs compared at once.
+SMALL_GROUP = 32
+#: Pivots of a larger group in the first round, and how many times as many in each further one.
+PIVOTS, MORE_PIVOTS = 4, 8
+#: Copies of a group's row that its members are dealt over.
 SALTS = 16
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-def shingles(hashes: WordHashes, text: bytes | None, size: int) -> np.ndarray:
-    """The distinct word n-grams of a text as sorted 64-bit hashes."""
-    words = (text or b"").lower().split()  # A-Z; ASCII white space
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = hashes.of(words)
-    if len(w) < size:
-        return np.array([xxhash.xxh3_64_intdigest(w.tobytes(), len(w))], np.uint64)
-    n = len(w) - size + 1
-    value = w[:n]
-    for j in range(1, size):
-        value = mix(value * _C1 + w[j : j + n])
-    return np.unique(value)
+def shingles(texts: list[bytes | None], size: int) -> Iterator[np.ndarray]:
+    """The distinct word n-grams of each text as sorted 64-bit hashes."""
+    for w in word_hashes(texts):
+        if len(w) < size:
+            whole = [xxhash.xxh3_64_intdigest(w.tobytes(), len(w))] if len(w) else []
+            yield np.array(whole, np.uint64)
+            continue
+        n = len(w) - size + 1
+        value = w[:n]
+        for j in range(1, size):
+            value = (value ^ (value >> np.uint64(32))) * _C1 + w[j : j + n]
+        value = np.sort(mix(value))
+        yield value[np.concatenate([[True], value[1:] != value[:-1]])]
 
 
 @dataclass
 class Plan:
-    """How sets are indexed: similarity num/den, frequent elements, bands by one deletion."""
+    """How sets are indexed: similarity num/den, frequent elements (marked by their leading 20 bits), bands by one deletion."""
 
     num: int
     den: int
@@ -110,15 +113,9 @@ class Plan:
             where = np.concatenate([chosen, place[mine]])
             value = np.concatenate([value[:needed], less])
             return mix(value + mix(where.astype(np.uint64) * _C1 + salt)), needed
-        rare = elements
-        rare_place = place
-        if len(self.frequent):
-            at = np.minimum(np.searchsorted(self.frequent, elements), len(self.frequent) - 1)
-            is_rare = self.frequent[at] != elements
-            rare, rare_place = elements[is_rare], place[is_rare]
         rank = np.full(segments, 2, np.int8)
         rank[place] = 1
-        rank[rare_place] = 0
+        rank[place[~self.frequent[elements >> np.uint64(44)]]] = 0
         chosen = np.argsort(rank, kind="stable")[:needed]
         return mix(value[chosen] + mix(chosen.astype(np.uint64) * _C1 + salt)), needed
 
@@ -131,13 +128,11 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n, hi, lo: the number of n-grams and a 128-bit digest of their set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(hashes, text, size) for text in utf8(batch.column(1))]
-            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").astype(np.int64)
-            digest = digest.reshape(-1, 2)
+            sets = [(len(s), xxhash.xxh3_128_digest(s.tobytes())) for s in shingles(utf8(batch.column(1)), size)]
+            digest = np.frombuffer(b"".join(d for _, d in sets), ">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]),
+                [batch.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array(digest[:, 0]),
                  pa.array(digest[:, 1])], ["doc_id", "n", "hi", "lo"],
             )
 
@@ -151,24 +146,23 @@ def _planned(docs: DataFrame, total: int, size: int, num: int, den: int) -> Plan
     scale = max(1.0, total / SAMPLE)
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            sets = {s.tobytes(): s for s in (shingles(hashes, t, size) for t in utf8(batch.column(1)))}
+            sets = {s.tobytes(): s for s in shingles(utf8(batch.column(1)), size)}
             found, n = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(n)], ["element", "n"])
 
     counts = sample.mapInArrow(elements, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
     common = counts.where(F.col("n") >= FREQUENT).select("element")  # at most SAMPLE sets' elements / FREQUENT
-    frequent = np.sort(np.array([r[0] for r in common.collect()], np.int64).view(np.uint64))
+    frequent = np.zeros(1 << 20, bool)
+    frequent[np.array([r[0] for r in common.collect()], np.int64).view(np.uint64) >> np.uint64(44)] = True
     plan = Plan(num, den, frequent)
     shared = share(docs.sparkSession, plan)
 
     def both_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, hashes = shared(), WordHashes()
+        plan = shared()
         for batch in batches:
             rows = {"band": [], "deletion": [], "key": []}
-            for text in utf8(batch.column(1)):
-                found = shingles(hashes, text, size)
+            for found in shingles(utf8(batch.column(1)), size):
                 for band in plan.bands(len(found)) if len(found) else ():
                     for deletion in (False, True):
                         keys, _ = plan.keys(found, band, deletion)
@@ -191,12 +185,11 @@ def _entries(docs: DataFrame, plan: Plan, size: int) -> DataFrame:
     shared = share(docs.sparkSession, plan)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, hashes, seen = shared(), WordHashes(), set()
+        plan, seen = shared(), set()
         for batch in batches:
             keys, nodes, own = [np.zeros(0, np.uint64)], [], []
             ids = batch.column(0).to_pylist()
-            for node, text in zip(ids, utf8(batch.column(1)), strict=True):
-                found = shingles(hashes, text, size)
+            for node, found in zip(ids, shingles(utf8(batch.column(1)), size), strict=True):
                 digest = xxhash.xxh3_128_digest(found.tobytes())
                 if digest in seen:
                     continue
@@ -222,13 +215,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, plan: Plan, size: int) -> Data
     num, den = plan.num, plan.den
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, first = WordHashes(), None, None
+        last, first = None, None
         for batch in batches:
             linked = []
-            for text_a, text_b in zip(utf8(batch.column("text_a")), utf8(batch.column("text_b")), strict=True):
-                if text_a != last:  # rows come sorted by a
-                    last, first = text_a, shingles(hashes, text_a, size)
-                other = shingles(hashes, text_b, size)
+            others = shingles(utf8(batch.column("text_b")), size)
+            for text, other in zip(utf8(batch.column("text_a")), others, strict=True):
+                if text != last:  # rows come sorted by a
+                    last, first = text, next(shingles([text], size))
                 common = len(np.intersect1d(first, other, assume_unique=True))
                 linked.append(den * common >= num * (len(first) + len(other) - common) > 0)
             yield pa.RecordBatch.from_arrays(
@@ -283,60 +276,57 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     return out.unionByName(nameless)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+
+
 def _linked(active: DataFrame, texts: DataFrame, plan: Plan, size: int) -> DataFrame:
     """node, component of every node that links with another; a staged table.
 
-    Compares, per key, a pivot with the members of other components, and takes it out.
+    In each round the pivots of a group are compared with its members in other components
+    and leave it. What is left of a group has been compared with every pivot, so when all
+    its members are in one component, or pivots, no link is missed.
     """
-    spark = active.sparkSession
-    links = spark.createDataFrame([], "u long, v long")
-    compared = spark.createDataFrame([], "a long, b long")
-    found = stage(spark.createDataFrame([], "node long, component long"), "components")
-    active = stage(active.withColumn("component", F.col("node")), "join-active")
+    found = None
+    active = active.withColumn("component", F.col("node"))
+    pivots = PIVOTS
     while True:
         groups = active.groupBy("key").agg(
             F.count(F.lit(1)).alias("n"),
-            F.sum(F.col("own").cast("bigint")).alias("n_own"),
+            F.max("own").alias("any_own"),
             F.min("component").alias("low"),
             F.max("component").alias("high"),
-            F.max(F.struct("own", "company", -F.col("node"))).alias("pivot"),
-        )
-        groups = stage(
-            groups.where("n > 1 and n_own > 0 and low < high").select(
-                "key", "n", "n_own", (-F.col("pivot")["col3"]).alias("pivot")
-            ),
-            "join-groups",
+            F.max(F.struct("own", "company", "node")).alias("top"),
         )
-        rows, pairs = groups.agg(F.sum("n"), F.sum(F.expr("n_own * (n - 1)"))).first()
-        if not rows:
-            return found
-        last = pairs <= FEW_PAIRS * rows
-        members = active.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-        spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        members = stage(members.join(spread, ["key", "salt"]).drop("salt"), "join-members")
-        if last:
-            one = members.where("own").select("key", F.col("node").alias("p"), F.col("component").alias("p_component"))
-        else:
-            one = members.where("node = pivot").select("key", F.col("node").alias("p"), F.col("component").alias("p_component"))
-        if last:
-            tried = members.join(one, "key")
-        else:
-            spread = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            tried = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(spread, ["key", "salt"])
-        tried = tried.where("component <> p_component")
-        tried = tried.select(F.least("p", "node").alias("x"), F.greatest("p", "node").alias("y"), F.col("p")).groupBy("x", "y").agg(F.max("p").alias("p"))
-        tried = tried.select(F.col("p").alias("a"), F.when(F.col("p") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
-        seen = compared.unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tried = stage(tried.join(seen, ["a", "b"], "left_anti"), "join-pairs")
-        verified = _verified(tried, texts, plan, size)
-        compared = compared.unionByName(verified.where("not linked").select("a", "b"))
-        links = links.unionByName(verified.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        groups = groups.where("n > 1 and any_own and low < high").select("key", "n", F.col("top.node").alias("top"))
+        # All members of small groups; of others the one with the most company and some by chance, alike in all groups.
+        chance = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(1 << 30)) * F.col("n") < F.lit(pivots << 30)
+        pivot = F.col("own") & ((F.col("n") <= SMALL_GROUP) | (F.col("node") == F.col("top")) | chance)
+        members = _salted(active).join(_spread(groups), ["key", "salt"]).withColumn("pivot", pivot)
+        members = stage(members.drop("salt", "n", "top"), "join-members")
+        if members.isEmpty():
+            return found if found is not None else components(_no_links(active))
+        first = members.where("pivot").select("key", F.col("node").alias("p"), F.col("component").alias("p_component"))
+        tried = _salted(members).join(_spread(first), ["key", "salt"])
+        tried = tried.where("component <> p_component and (p < node or not pivot)")
+        # The same pair may come from many keys, either way round.
+        tried = tried.groupBy(F.least("p", "node").alias("x"), F.greatest("p", "node").alias("y")).agg(F.max("p").alias("a"))
+        tried = tried.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
+        links = _verified(tried, texts, plan, size).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if found is not None:
+            links = links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
         found = components(links)
-        if last:
-            return found
-        rest = members.where("node <> pivot").select("key", "node", "own", "company")
-        rest = join_by_id(rest, found, "node", "left")
-        active = stage(rest.withColumn("component", F.coalesce("component", "node")), "join-active")
+        rest = join_by_id(members.where("not pivot").drop("pivot", "component"), found, "node", "left")
+        active = rest.withColumn("component", F.coalesce("component", "node"))
+        pivots *= MORE_PIVOTS
+
+
+def _no_links(df: DataFrame) -> DataFrame:
+    return df.where("false").select(F.col("node").alias("u"), F.col("node").alias("v"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
