@@ -8,8 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspool.llm import decontamination, toxicity
+from larkspool.llm import decontamination, mixing, ngram_join, packing, toxicity
 from larkspool.llm.common import ensure_folder, stage
+from larkspool.llm.queries import quality_domains
+
+#: Target shares of words by kind of document, once toxic documents are gone.
+TARGETS = {"q1t0": 0.85, "q0t0": 0.15}
+#: More than the words there are that mixing may use, to repeat documents instead of dropping any.
+MOST_BUDGET = 1.5
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +29,28 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontamination.drop_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group linked by a Jaccard similarity of 0.8 or more of 5-word shingles."""
+    return ngram_join.drop_near_duplicates(docs, size=5, num=80, den=100)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat documents at rates of 1 or more, so that kinds of documents have their shares; none is dropped."""
+    labels = quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.mix_documents(docs, labels, TARGETS, least=1.0, most_budget=MOST_BUDGET)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in packed rows."""
+    return packing.pack(docs, packing.Tokenizer.read())
+
+
 STAGES = [
     ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicates_stage),
     ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
 ]
 
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspool.llm import decontamination, line_dedup, ngram_join, packing, suffix_dedup, toxicity, url_filters, vectors, warc
+from larkspool.llm import decontamination, line_dedup, mixing, ngram_join, packing, suffix_dedup, toxicity, url_filters, vectors, warc
 from larkspool.llm.common import ensure_folder
 
 
@@ -47,6 +47,21 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_domains(labels: DataFrame) -> DataFrame:
+    """doc_id, domain: the labelled table's kinds of documents, such as q1t0 for good and not toxic."""
+    return labels.select("doc_id", F.concat(F.lit("q"), F.col("quality"), F.lit("t"), F.col("toxic")).alias("domain"))
+
+
+#: Target shares of tokens by kind of document.
+TARGETS = {"q1t0": 0.86, "q0t0": 0.12, "q1t1": 0.02}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates at which all documents give the target shares of tokens, with their domain posteriors."""
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return mixing.mixed_rates(docs, quality_domains(labels), TARGETS)
+
+
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors linked by a cosine of 0.95 or more."""
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
@@ -141,6 +156,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op4_mixing": op4_mixing,
     "op5_vectors": op5_vectors,
     "op6_warc": op6_warc,
     "op7_ngram_join": op7_ngram_join,
