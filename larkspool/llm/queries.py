@@ -184,14 +184,99 @@ _OP1 = """
     FROM lines GROUP BY doc_id
 """
 
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_OP3 = f"""
+    WITH doc_words AS (
+        SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM (
+            SELECT doc_id, regexp_extract_all(translate(text, {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents)
+    ),
+    item_words AS (
+        SELECT item_id, regexp_extract_all(translate(text, {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+    ),
+    item_windows AS (
+        SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS gram
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM item_words WHERE len(w) > 0)
+    ),
+    sizes AS (SELECT DISTINCT size FROM item_windows),
+    doc_windows AS (
+        SELECT doc_id, i, size, gram FROM (
+            SELECT doc_id, i, size, n, string_agg(word, ' ') OVER (
+                PARTITION BY doc_id, size ORDER BY i ROWS BETWEEN CURRENT ROW AND size - 1 FOLLOWING) AS gram
+            FROM doc_words, sizes) WHERE i + size - 1 <= n
+    ),
+    found AS (SELECT doc_id, i, size, item_id FROM doc_windows JOIN item_windows USING (size, gram)),
+    hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM found) GROUP BY doc_id),
+    items AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+    ),
+    words AS (SELECT doc_id, count(*) AS n_words FROM doc_words GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM documents LEFT JOIN words USING (doc_id) LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_COMPONENTS = """
+    reach(node, root) AS (
+        SELECT a, a FROM links UNION SELECT l.a, r.root FROM links l JOIN reach r ON l.b = r.node WHERE r.root < l.a
+    ),
+    roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+"""
+
+_OP5 = f"""
+    WITH RECURSIVE usable AS (
+        SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ),
+    links AS (
+        SELECT x.vec_id AS a, y.vec_id AS b FROM usable x, usable y
+        WHERE x.vec_id <> y.vec_id AND list_cosine_similarity(x.v, y.v) >= 0.95
+    ),
+    {_COMPONENTS}
+    SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links,
+           coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+    FROM embeddings LEFT JOIN roots ON node = vec_id
+"""
+
 _OP6 = """
     SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
-           NULL AS payload_digest, record_type, refers_to
-    FROM (
-        SELECT *, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
-        FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
-    )
+           list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               1 + CAST((CAST('0x' || substr(digest, 1 + 5 * (k // 4), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS BIGINT), 1)),
+               'string_agg', '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+    FROM (SELECT *, sha1(coalesce(html, '')) AS digest, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
 """
 
-ORACLE: dict[str, str] = {"op1_line_dedup": _OP1, "op10_url_filters": _OP10}
+_OP7 = f"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(text, {_LOWER}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+        FROM documents
+    ),
+    sets AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS gram
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 0) + 2)) AS i FROM words WHERE len(w) > 0)
+    ),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    common AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM sets x JOIN sets y USING (gram)
+        WHERE x.doc_id <> y.doc_id GROUP BY ALL
+    ),
+    links AS (
+        SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+        WHERE 100 * common.n >= 90 * (x.n + y.n - common.n)
+    ),
+    {_COMPONENTS}
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id
+    FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON node = doc_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": _OP1,
+    "op3_decontamination": _OP3,
+    "op5_vectors": _OP5,
+    "op6_warc": _OP6,
+    "op7_ngram_join": _OP7,
+    "op10_url_filters": _OP10,
+}
