@@ -18,7 +18,12 @@ more, and the windows on both sides are repeated.
 
 An anchor with more than MOST_CONTEXTS different contexts (the edge of a passage that
 very many documents quote differently) would be a large group for one task. Its windows are
-counted by their 128-bit digests instead, with a partial sum in every task.
+taken in blocks of BLOCK, by their place relative to the anchor, and counted by 128-bit
+digests with a partial sum in every task: blocks that are equal as a whole repeat; blocks whose
+core, the bytes that all their windows share, occurs once do not; the windows of the others
+are counted one by one.
+
+Texts are joined by a shuffle at every size of the input.
 
 Texts are read as UTF-8, null as empty, and matches never cross documents. Rows are told
 apart by id and text, so ids may be null or repeat; rows that repeat both are documents
@@ -36,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspool.llm.common import ID_BROADCAST_BYTES, extended, fresh, mix, signed, stage, staged_bytes, utf8
+from larkspool.llm.common import extended, fresh, mix, signed, stage, utf8
 
 #: Bytes of a repeated string, and of the substrings whose hashes make anchors.
 LENGTH, GRAM = 200, 32
@@ -44,13 +49,15 @@ LENGTH, GRAM = 200, 32
 CHUNK, SHARD = 1 << 20, 1 << 20
 #: Different contexts of an anchor that are compared in one task.
 MOST_CONTEXTS = 256
+#: Windows of a block, where there are more.
+BLOCK = 8
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _SCAN = "doc_id {id}, row long, sure array<int>, anchor long, hi long, lo long, start int, windows int, weight int"
 
 
-def contexts(text: bytes, length: int) -> Iterator[tuple[int, int, int]]:
-    """anchor hash, first window, number of windows of every context of a text."""
+def contexts(text: bytes, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """anchor hash, first window, number of windows, place of the anchor of every context of a text."""
     grams = length - GRAM + 1  # of one window
     for at in range(0, max(0, len(text) - length + 1), CHUNK):
         part = np.frombuffer(text, np.uint8, min(CHUNK + length - 1, len(text) - at), at)
@@ -68,7 +75,9 @@ def contexts(text: bytes, length: int) -> Iterator[tuple[int, int, int]]:
         place = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
         first = np.flatnonzero(np.diff(place, prepend=-1))
         count = np.diff(first, append=len(place))
-        yield from zip(signed(value[place[first]]).tolist(), (first + at).tolist(), count.tolist(), strict=True)
+        anchors = place[first]
+        columns = (signed(value[anchors]), first + at, count, anchors + at)
+        yield from zip(*(c.tolist() for c in columns), strict=True)
 
 
 def _scan(length: int):
@@ -78,7 +87,7 @@ def _scan(length: int):
             for i, text in enumerate(utf8(batch.column(2))):
                 own: dict[bytes, list] = {}
                 text = text or b""
-                for a, first, count in contexts(text, length):
+                for a, first, count, _ in contexts(text, length):
                     own.setdefault(xxhash.xxh3_128_digest(text[first : first + count + length - 1]), []).append((a, first, count))
                 for key, found in own.items():
                     of.append(i)
@@ -196,28 +205,96 @@ def _by_transform(length: int):
     return run
 
 
-def _window_digests(length: int):
+def _halves(digests: list[bytes]) -> list[pa.Array]:
+    both = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+
+def _blocks(length: int):
+    """Every context in blocks: their first window, number of windows, digests of the core and of the whole."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, hi, lo, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "hi", "lo", "bytes")), strict=True):
-                n = len(text) - length + 1
-                digest = b"".join(xxhash.xxh3_128_digest(text[i : i + length]) for i in range(n))
-                both = np.frombuffer(digest, ">i8").astype(np.int64).reshape(-1, 2)
-                same = [pa.array(np.full(n, x, np.int64)) for x in (anchor, hi, lo)]
-                yield pa.RecordBatch.from_arrays(
-                    [*same, pa.array(np.arange(n, dtype=np.int32)), pa.array(both[:, 0]), pa.array(both[:, 1])],
-                    ["anchor", "hi", "lo", "place", "w_hi", "w_lo"],
-                )
+            rows, cores, wholes = [], [], []
+            for key in zip(*(batch.column(c).to_pylist() for c in ("anchor", "hi", "lo", "bytes")), strict=True):
+                text = key[3]
+                _, _, n, at = next(contexts(text, length))
+                first = 0
+                while first < n:
+                    start = (first - at) // BLOCK * BLOCK + at  # of the whole block, relative to the anchor
+                    behind = min(n, start + BLOCK)
+                    rows.append((*key[:3], first, behind - first))
+                    cores.append(xxhash.xxh3_128_digest(text[start + BLOCK - 1 : start + length]))
+                    wholes.append(xxhash.xxh3_128_digest(text[first : behind + length - 1], first - start))
+                    first = behind
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), *_halves(cores), *_halves(wholes)],
+                ["anchor", "hi", "lo", "first", "windows", "c_hi", "c_lo", "f_hi", "f_lo"],
+            )
 
     return run
 
 
+def _block_windows(length: int):
+    """Digests of the windows of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, digests = [], []
+            names = ("f_hi", "f_lo", "n", "first", "windows", "bytes")
+            for f_hi, f_lo, n, first, windows, text in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                for i in range(windows):
+                    rows.append((f_hi, f_lo, n, i))
+                    digests.append(xxhash.xxh3_128_digest(text[first + i : first + i + length]))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), *_halves(digests)],
+                ["f_hi", "f_lo", "n", "place", "w_hi", "w_lo"],
+            )
+
+    return run
+
+
+def _by_blocks(fetched: DataFrame, length: int) -> DataFrame:
+    """anchor, hi, lo, runs of repeated windows of contexts (anchor, hi, lo, bytes), groups of any size."""
+    core, whole, window = ["c_hi", "c_lo"], ["f_hi", "f_lo"], ["w_hi", "w_lo"]
+    blocks = fetched.mapInArrow(
+        _blocks(length),
+        "anchor long, hi long, lo long, first int, windows int, c_hi long, c_lo long, f_hi long, f_lo long",
+    )
+    blocks = stage(blocks, "suffix-blocks")
+    kinds = blocks.groupBy(*core, *whole).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("anchor", "hi", "lo", "first", "windows")).alias("copy")
+    )
+    kinds = stage(kinds, "suffix-block-kinds")
+    several = kinds.groupBy(*core).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(*core)
+    unsure = kinds.join(stage(several, "suffix-cores").hint("merge"), core).select(*whole, "n", "copy.*")
+    unsure = unsure.join(fetched.select("anchor", "hi", "lo", "bytes").hint("merge"), ["anchor", "hi", "lo"])
+    windows = unsure.mapInArrow(
+        _block_windows(length), "f_hi long, f_lo long, n long, place int, w_hi long, w_lo long"
+    )
+    windows = stage(windows, "suffix-windows")
+    twice = windows.groupBy(*window).agg(F.sum("n").alias("times")).where("times > 1").select(*window)
+    some = windows.join(stage(twice, "suffix-twice").hint("merge"), window).groupBy(*whole).agg(
+        F.collect_set("place").alias("places")
+    )
+    all_places = F.when(F.col("n") > 1, F.sequence(F.lit(0), F.col("copy.windows") - 1))
+    found = kinds.select(*whole, "n", "copy").join(some, whole, "left").select(*whole, F.coalesce(all_places, "places").alias("places"))
+    found = stage(found.where("places is not null"), "suffix-places")
+    hit = blocks.join(found.hint("merge"), whole)
+    runs = F.flatten(F.transform("places", lambda p: F.array(F.col("first") + p, F.col("first") + p + 1)))
+    hit = hit.select("anchor", "hi", "lo", runs.alias("runs"))
+    return hit.groupBy("anchor", "hi", "lo").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+
 def _join_rows(docs: DataFrame, lookup: DataFrame, how: str) -> DataFrame:
-    """Join texts with a staged table by row number (a hash of id and text) and id; see ``common.join_by_id``."""
+    """Join texts with a staged table by row number (a hash of id and text) and id."""
     lookup = lookup.withColumnsRenamed({"doc_id": "_id", "row": "_row"})
-    side = F.broadcast(lookup) if staged_bytes(lookup) <= ID_BROADCAST_BYTES else lookup.hint("merge")
     same = (docs["row"] == lookup["_row"]) & docs["doc_id"].eqNullSafe(lookup["_id"])
-    return docs.join(side, same, how).drop("_id", "_row")
+    return docs.join(lookup.hint("merge"), same, how).drop("_id", "_row")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -260,14 +337,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     few = fetched.where(F.col("kinds") <= MOST_CONTEXTS).drop("kinds").repartition("anchor").sortWithinPartitions("anchor")
     found = few.mapInArrow(_by_transform(length), _FOUND)
 
-    windows = fetched.where(F.col("kinds") > MOST_CONTEXTS).mapInArrow(
-        _window_digests(length), "anchor long, hi long, lo long, place int, w_hi long, w_lo long"
-    )
-    windows = stage(windows, "suffix-windows")
-    twice = windows.groupBy("w_hi", "w_lo").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w_hi", "w_lo")
-    many = windows.join(stage(twice, "suffix-twice").hint("merge"), ["w_hi", "w_lo"]).groupBy("anchor", "hi", "lo").agg(
-        F.flatten(F.collect_set(F.array("place", F.col("place") + 1))).alias("runs")
-    )
+    many = _by_blocks(fetched.where(F.col("kinds") > MOST_CONTEXTS).drop("kinds"), length)
     found = stage(found.unionByName(many), "suffix-found").withColumnRenamed("runs", "part")
 
     whole = F.when(F.col("n") > 1, F.array(F.lit(0), F.col("windows")))
@@ -292,10 +362,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     columns, gone = docs.columns, fresh("spans", docs.columns)
     row = fresh("row_hash", docs.columns)
     lookup = spans.withColumnsRenamed({"spans": gone, "row": f"{row}_", "doc_id": f"{row}_id"})
-    side = F.broadcast(lookup) if staged_bytes(spans) <= ID_BROADCAST_BYTES else lookup.hint("merge")
     hashed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
     same = (hashed[row] == lookup[f"{row}_"]) & hashed["doc_id"].eqNullSafe(lookup[f"{row}_id"])
-    joined = hashed.join(side, same, "left").select(*columns, gone)
+    joined = hashed.join(lookup.hint("merge"), same, "left").select(*columns, gone)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
