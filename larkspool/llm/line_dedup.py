@@ -36,7 +36,7 @@ THRESHOLD = 10
 #: Keys per shard aimed at, and shards at least.
 KEYS_PER_SHARD, LEAST_SHARDS = 250_000, 128
 #: Pairs of document and key that meet one copy of a filter, aimed at, and copies at least.
-PAIRS_PER_GROUP, LEAST_SALTS = 200_000, 4
+PAIRS_PER_GROUP, LEAST_SALTS = 200_000, 16
 SLOTS, KICKS = 4, 400
 _WHITE = b" \t\n\x0b\x0c\r"
 
