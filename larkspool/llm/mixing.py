@@ -34,7 +34,7 @@ from larkspool.llm.common import fresh, stage
 LABELLED, BUCKETS = 20_000, 4_096
 #: The words of a text count as this many independent ones at most.
 EVIDENCE = 40.0
-#: Steps at most, and the largest distance from a target share to stop at.
+#: Steps at most, and the largest distance from a target share to stop at; four steps without a tenth of progress end it too.
 STEPS, CLOSE = 25, 1e-5
 
 
@@ -108,11 +108,15 @@ class Rates:
     shares: list[list[float]]
 
     def of(self, posterior: str) -> Column:
-        rate = F.lit(1.0)
-        for step in self.steps:
-            off = sum((F.col(posterior)[k] * g for k, g in enumerate(step)), F.lit(0.0))
-            rate = F.greatest(F.lit(self.least), rate - off)
-        return rate
+        if not self.steps:
+            return F.lit(max(1.0, self.least))
+        steps = F.array(*(F.array(*map(F.lit, step)) for step in self.steps))
+
+        def move(rate: Column, step: Column) -> Column:
+            off = sum((F.col(posterior)[k] * step[k] for k in range(len(self.steps[0]))), F.lit(0.0))
+            return F.greatest(F.lit(self.least), rate - off)
+
+        return F.aggregate(steps, F.lit(1.0), move)
 
 
 def fit_rates(known: DataFrame, targets: Mapping[str, float], least: float = 0.0, most_budget: float = 1.0) -> Rates:
@@ -147,12 +151,13 @@ def fit_rates(known: DataFrame, targets: Mapping[str, float], least: float = 0.0
         return rates
     budget = max(1.0, min(most_budget, float(np.max(base / np.maximum(target, 1e-9)))))
     rates = Rates([], least, budget, [])
-    used, before = base, np.inf
+    used, before, stalled = base, np.inf, 0
     while True:
         off = used - budget * target
         rates.shares.append((used / max(1e-300, used.sum())).tolist())
         distance = np.abs(off).max()
-        if distance < CLOSE or len(rates.steps) == STEPS:
+        stalled = 0 if distance < 0.9 * before else stalled + 1
+        if distance < CLOSE or stalled == 4 or len(rates.steps) == STEPS:
             return rates
         gram = free if distance < before else every
         before = min(before, distance)
@@ -181,6 +186,9 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, fl
     known = with_posterior(docs.select("doc_id", "text"), model, "posterior", "n_tokens").select("n_tokens", "posterior")
     rates = fit_rates(stage(known, "mixing"), targets, least, most_budget)
     name, tokens = fresh("posterior", docs.columns), fresh("n_tokens", docs.columns)
-    used = with_posterior(docs, model, name, tokens).withColumn(tokens, copies(rates.of(name), "doc_id"))
-    each = F.explode(F.sequence(F.lit(1), F.col(tokens)))
-    return used.where(F.col(tokens) > 0).withColumn(name, each).select(*docs.columns)
+    rate = fresh("rate", docs.columns)
+    used = with_posterior(docs, model, name, tokens).withColumn(rate, rates.of(name))
+    used = used.withColumn(tokens, copies(F.col(rate), "doc_id"))
+    # Rows without copies are told by the generator: a filter on the rate would be pushed below it and compute it again.
+    each = F.explode_outer(F.when(F.col(tokens) > 0, F.sequence(F.lit(1), F.col(tokens))))
+    return used.withColumn(name, each).where(F.col(name).isNotNull()).select(*docs.columns)
