@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspool.operators.staging import spread
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checks-"))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for costly row-wise work. The given files have a single row group, hence a single task."""
-    return spread(table(spark, sf_dir, name))
+    """A table for costly row-wise work; files with fewer row groups than there are cores are dealt out first."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:

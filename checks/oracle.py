@@ -272,7 +272,7 @@ _CHAT = " || ".join(
 _PROMPT = " || ".join(
     [
         _turn("system", _literal(PSYCHOLOGY_SYSTEM_PROMPT)),
-        _turn("user", "string_split(text, chr(10))[1]"),
+        _turn("user", "text"),
         "'<|im_start|>assistant' || chr(10)",
     ]
 )
@@ -289,7 +289,7 @@ SELECT conv_id, coalesce(arg_min(text, turn) FILTER (role = 'user' AND text <> '
 FROM conversations GROUP BY conv_id""",
     "conversation_fallback": _with(RAW, select="SELECT row_id, question, answer FROM fallback"),
     "missing_columns": """
-SELECT doc_id AS step, CAST(NULL AS VARCHAR) AS run, CAST(NULL AS DOUBLE) AS loss, CAST(NULL AS DOUBLE) AS eval_accuracy
+SELECT doc_id AS step, text, CAST(NULL AS VARCHAR) AS run, CAST(NULL AS DOUBLE) AS loss, CAST(NULL AS DOUBLE) AS eval_accuracy
 FROM documents""",
     "normalized_text": r"SELECT doc_id, regexp_replace(lower(text), '\s+', '', 'g') AS normalized FROM documents",
     "non_empty_pairs": _with(
@@ -318,10 +318,16 @@ SELECT doc_id, source FROM (
 SELECT row_id, CASE WHEN messages IS NULL AND s = '' THEN '' ELSE made END AS final_answer FROM prefer""",
     ),
     "curated_rows": _with(RAW, CURATED, select="SELECT * FROM curated"),
-    "curated_without_source": _with(RAW, CURATED, select="SELECT 'unknown' AS source, count(*) AS n FROM curated"),
+    "curated_without_source": _with(
+        RAW, CURATED, select="SELECT row_id, instruction, output, final_answer, 'unknown' AS source FROM curated"
+    ),
     "curated_splits": "WITH "
     + CURATION
     + """
+SELECT curated.*, split, CAST(pos AS BIGINT) AS pos FROM curated JOIN capped ON curated.row_id = capped.row_id""",
+    "curated_from_table": "WITH "
+    + CURATION.replace("count(*) // 2 AS n, greatest(1, count(*) // 2 // 40)", "count(*) // 4 AS n, greatest(1, count(*) // 4 // 40)")
+    + """
 SELECT curated.*, split, CAST(pos AS BIGINT) AS pos FROM curated JOIN capped ON curated.row_id = capped.row_id""",
     "stage_audit": "WITH "
     + CURATION
@@ -404,15 +410,18 @@ SELECT item_id, model, instruction AS question, generation AS prediction, said A
     "accuracy_by_model": _with(
         TARGETS, ANSWER, PAIRS,
         select="""
-SELECT model, CAST(count(*) FILTER (match_kind <> 'none') AS DOUBLE) / count(*) * 100.0 AS accuracy, count(*) AS n
-FROM graded GROUP BY model""",
+SELECT model, CAST(m AS DOUBLE) / (c + t - a) * 100.0 AS accuracy, c + t - a AS n, t - a AS unanswered,
+  (SELECT count(*) FROM predictions p WHERE p.model = g.model AND p.item_id NOT IN (SELECT item_id FROM targets)) AS orphans
+FROM (SELECT model, count(*) FILTER (match_kind <> 'none') AS m, count(*) AS c, count(DISTINCT item_id) AS a,
+  (SELECT count(*) FROM targets) AS t FROM graded GROUP BY model) g""",
     ),
     "metric_choice": _with(RESULTS, select="SELECT model, task, score FROM picked"),
     "evaluated_models": _with(
         TARGETS, ANSWER, PAIRS, RESULTS,
         select="""
 SELECT model AS experiment, 'Reasoning' AS benchmark,
-  CAST(count(*) FILTER (match_kind <> 'none') AS DOUBLE) / count(*) * 100.0 AS score FROM graded GROUP BY model
+  CAST(count(*) FILTER (match_kind <> 'none') AS DOUBLE)
+    / (count(*) + (SELECT count(*) FROM targets) - count(DISTINCT item_id)) * 100.0 AS score FROM graded GROUP BY model
 UNION ALL
 SELECT model, CASE task WHEN 'hellaswag' THEN 'HellaSwag' ELSE upper(task) END, score FROM picked""",
     ),

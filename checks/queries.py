@@ -63,7 +63,7 @@ def conversation_fallback(spark, sf_dir):
 
 
 def missing_columns(spark, sf_dir):
-    return with_missing(_documents(spark, sf_dir, F.col("doc_id").alias("step")), RUN_LOG)
+    return with_missing(_documents(spark, sf_dir, F.col("doc_id").alias("step"), "text"), RUN_LOG)
 
 
 def normalized_text(spark, sf_dir):
@@ -107,8 +107,7 @@ def curated_rows(spark, sf_dir):
 
 
 def curated_without_source(spark, sf_dir):
-    rows = records.curate(inputs.raw_records(spark, sf_dir).drop("source"))
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return records.curate(inputs.raw_records(spark, sf_dir).drop("source"))
 
 
 def _curated(spark, sf_dir):
@@ -121,6 +120,15 @@ def curated_splits(spark, sf_dir):
     return _curated(spark, sf_dir).rows
 
 
+def curated_from_table(spark, sf_dir):
+    """Curation of a named table with a split column, and raw columns named like the result's."""
+    rows = inputs.raw_records(spark, sf_dir).withColumns({"split": F.lit("train"), "pos": F.lit("raw")})
+    rows.createOrReplaceTempView("larkspool_raw_table")
+    raw = readers.read_raw(spark, "larkspool_raw_table", "train")
+    quarter = inputs.table(spark, sf_dir, "documents").count() // 4
+    return curate_dataset(raw, quarter, cap=max(1, quarter // 40)).rows
+
+
 def stage_audit(spark, sf_dir):
     return _curated(spark, sf_dir).audit
 
@@ -208,7 +216,7 @@ def chat_text(spark, sf_dir):
 
 def chat_prompt(spark, sf_dir):
     rows = _instructions(spark, sf_dir)
-    prompt = chat.chat_prompt(F.col("instruction"), PSYCHOLOGY_SYSTEM_PROMPT)
+    prompt = chat.chat_prompt(F.col("output"), PSYCHOLOGY_SYSTEM_PROMPT)
     return rows.select("doc_id", prompt.alias("prompt"))
 
 
@@ -273,7 +281,7 @@ def graded_detail(spark, sf_dir):
 
 
 def accuracy_by_model(spark, sf_dir):
-    return grading.accuracy(_graded(spark, sf_dir))
+    return grading.accuracy(inputs.predictions(spark, sf_dir), inputs.targets(spark, sf_dir))
 
 
 # --- metrics and reports ------------------------------------------------------
@@ -364,7 +372,7 @@ QUERIES = {
     for f in (
         source_filter, qa_fill, qa_prefer_messages, qa_from_turns, conversation_fallback, missing_columns,
         normalized_text, non_empty_pairs, dedup_question, dedup_question_answer, dedup_documents,
-        boxed_answers, curated_rows, curated_without_source, curated_splits, stage_audit,
+        boxed_answers, curated_rows, curated_without_source, curated_splits, curated_from_table, stage_audit,
         source_distribution, source_allocation, stratified_sample, sample_topup, plain_sample,
         hash_shuffle, head_limit, stratified_order, split_assign, split_capped, batches,
         chat_text, chat_prompt, completion_mask, completion_text, truncated_tokens,

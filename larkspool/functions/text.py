@@ -15,11 +15,11 @@ _SPACE = r"[\s\x1c-\x1f]"
 # Tokens of a text that may hold boxes: an opening, a brace, plain text, a lone backslash.
 _BOX_TOKENS = r"(\\boxed\{|[{}]|[^{}\\]+|\\)"
 
-# Number literals. Integers have no leading zeros unless they are all zeros.
-_PLAIN = r"^\s*[+-]?(?:0+|[1-9][0-9]*|[0-9]+\.[0-9]*|\.[0-9]+)\s*$"
-# The same within decimal(18,6), so that the product of two is exact in decimal(37,12).
-_SMALL = r"[+-]?(?:0{1,12}|[1-9][0-9]{0,11}|[0-9]{1,12}\.[0-9]{0,6}|\.[0-9]{1,6})"
-_FRACTION = rf"^\s*{_SMALL}\s*(?:/\s*{_SMALL}\s*)?$"
+# Number literals. Integers have no leading zeros unless they are all zeros; an exponent may follow.
+_NUMBER = r"[+-]?(?:0+|[1-9][0-9]*|[0-9]+\.[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,15})?"
+_FRACTION = rf"^\s*{_NUMBER}\s*(?:/\s*{_NUMBER}\s*)?$"
+# Decimal digits of one group in products of long numbers: a sum of many products of two groups fits a bigint.
+_GROUP = 6
 
 
 def normalize_text(text: Column) -> Column:
@@ -80,33 +80,86 @@ def clean_answer(answer: Column) -> Column:
     return F.rtrim(F.translate(F.lower(answer), " $,", ""), F.lit("."))
 
 
-def _canonical(number: Column) -> Column:
-    """A plain number as sign, digits without outer zeros, dot, digits without outer zeros."""
-    whole = F.regexp_extract(number, r"^\s*[+-]?0*([0-9]*)", 1)
-    rest = F.regexp_extract(number, r"\.([0-9]*?)0*\s*$", 1)
-    minus = F.when(F.contains(number, F.lit("-")) & (F.concat(whole, rest) != ""), "-").otherwise("")
-    return F.concat(minus, whole, F.lit("."), rest)
+def _parsed(number: Column) -> tuple[Column, Column, Column]:
+    """A number literal as digits without leading zeros, power of ten, and whether it is negative."""
+    whole = F.regexp_extract(number, r"^\s*[+-]?([0-9]*)", 1)
+    rest = F.regexp_extract(number, r"^\s*[+-]?[0-9]*\.([0-9]*)", 1)
+    power = F.regexp_extract(number, r"[eE]([+-]?[0-9]+)\s*$", 1).try_cast("bigint")
+    digits = F.regexp_replace(F.concat(whole, rest), "^0+", "")
+    return digits, F.coalesce(power, F.lit(0)) - F.length(rest), F.regexp_like(number, F.lit(r"^\s*-"))
+
+
+def _groups(digits: Column) -> Column:
+    """Groups of digits as numbers, the lowest first."""
+    size = F.ceil(F.length(digits) / _GROUP) * _GROUP
+    found = F.regexp_extract_all(F.lpad(digits, size, F.lit("0")), F.lit(f"([0-9]{{{_GROUP}}})"), F.lit(1))
+    return F.transform(F.reverse(found), lambda g: g.cast("bigint"))
+
+
+def _long_product(left: Column, right: Column) -> Column:
+    """Digits of the product of two digit strings of any length that are not empty."""
+    def multiplied(x: Column, y: Column) -> Column:
+        n, m, base = F.size(x), F.size(y), F.lit(10**_GROUP)
+        sums = F.transform(
+            F.sequence(F.lit(0), n + m - 2),
+            lambda k: F.aggregate(
+                F.sequence(F.greatest(F.lit(0), k - m + 1), F.least(k, n - 1)),
+                F.lit(0).cast("bigint"),
+                lambda total, i: total + F.get(x, i) * F.get(y, k - i),
+            ),
+        )
+
+        def carry(state: Column, value: Column) -> Column:
+            total = state["carry"] + value
+            low = F.lpad((total % base).cast("string"), _GROUP, F.lit("0"))
+            return F.struct(F.floor(total / base).alias("carry"), F.concat(low, state["digits"]).alias("digits"))
+
+        start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.lit("").alias("digits"))
+        return F.aggregate(
+            sums, start, carry,
+            lambda end: F.regexp_replace(F.concat(end["carry"].cast("string"), end["digits"]), "^0+", ""),
+        )
+
+    return let(_groups(left), lambda x: let(_groups(right), lambda y: multiplied(x, y)))
 
 
-def _ratio(number: Column) -> tuple[Column, Column]:
-    top = F.split_part(number, F.lit("/"), F.lit(1)).try_cast("decimal(18,6)")
-    bottom = F.split_part(number, F.lit("/"), F.lit(2))
-    return top, F.when(bottom == "", F.lit("1")).otherwise(bottom).try_cast("decimal(18,6)")
+def _product(left: Column, right: Column) -> Column:
+    short = (F.length(left) <= 18) & (F.length(right) <= 18)
+    quick = (left.try_cast("decimal(18,0)") * right.try_cast("decimal(18,0)")).cast("string")
+    zero = (left == "") | (right == "")
+    return F.when(zero, F.lit("")).when(short, quick).otherwise(_long_product(left, right))
+
+
+def _same(left: tuple[Column, Column], right: tuple[Column, Column]) -> Column:
+    """Whether two (digits, power of ten) have the same value."""
+    def least(digits: Column, power: Column) -> Column:
+        bare = F.rtrim(digits, F.lit("0"))
+        power = F.when(bare == "", F.lit(0).cast("bigint")).otherwise(power + F.length(digits) - F.length(bare))
+        return F.struct(bare.alias("digits"), power.cast("bigint").alias("power"))
+
+    return least(*left) == least(*right)
 
 
 def numeric_equal(left: Column, right: Column) -> Column:
-    """Exact equality of two numbers written as integer, decimal or ``a/b``.
+    """Exact equality of two numbers written as integer, decimal, with an exponent, or as ``a/b``.
 
-    Plain numbers of any length compare by their canonical digits. Fractions
-    compare by cross multiplication, within 12 integer and 6 decimal digits per
-    part. Everything else, and a zero denominator, is not equal.
+    Numbers compare by their digits and power of ten, fractions by cross
+    multiplication, with any number of digits. Everything else, a zero
+    denominator and an exponent of more than 15 digits are not equal.
     """
-    (a, b), (c, d) = _ratio(left), _ratio(right)
-    both_plain = F.regexp_like(left, F.lit(_PLAIN)) & F.regexp_like(right, F.lit(_PLAIN))
-    both_fractions = F.regexp_like(left, F.lit(_FRACTION)) & F.regexp_like(right, F.lit(_FRACTION))
-    verdict = F.when(both_plain, _canonical(left) == _canonical(right)).when(
-        both_fractions, (b != 0) & (d != 0) & (a * d == c * b)
-    )
+    numbers = F.regexp_like(left, F.lit(_FRACTION)) & F.regexp_like(right, F.lit(_FRACTION))
+
+    def parts(number: Column) -> tuple:
+        top, bottom = (F.split_part(number, F.lit("/"), F.lit(i)) for i in (1, 2))
+        return _parsed(top), _parsed(F.when(bottom == "", F.lit("1")).otherwise(bottom))
+
+    (a, b), (c, d) = parts(left), parts(right)
+    plain = ~F.contains(left, F.lit("/")) & ~F.contains(right, F.lit("/"))
+    zero = (a[0] == "") & (c[0] == "")
+    signs = zero | ((a[2] != b[2]) == (c[2] != d[2]))
+    crossed = _same((_product(a[0], d[0]), a[1] + d[1]), (_product(c[0], b[0]), c[1] + b[1]))
+    fractions = (b[0] != "") & (d[0] != "") & signs & crossed
+    verdict = F.when(~numbers, F.lit(False)).when(plain, (zero | (a[2] == c[2])) & _same(a[:2], c[:2])).otherwise(fractions)
     return F.coalesce(verdict, F.lit(False))
 
 

@@ -1,6 +1,8 @@
 """Exact keep-first dedup on normalized text.
 
-Shuffles carry digests and row ids, never text. ``row_number() = 1`` makes
+Shuffles that decide carry digests and row ids, never text. The texts of the result
+stay where they are while the ids of the rows to drop are few enough to be
+broadcast; beyond that, one join by row id moves them. ``row_number() = 1`` makes
 Catalyst place a group limit in front of the exchange, so each task sends at
 most one row per key: a key that holds a third of the table costs one row per
 task, not a third of the table.
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from larkspool.functions.text import has_text, normalize_text
 from larkspool.operators.filters import compute_and_keep
+from larkspool.operators.staging import lookup_join, stage
 
 
 def digest(text: Column) -> Column:
@@ -26,10 +29,16 @@ def first_rows(df: DataFrame, key: str, row_id: str) -> DataFrame:
     return df.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") == 1).drop("_nth")
 
 
+def _without(df: DataFrame, rows: DataFrame, kept: DataFrame, row_id: str) -> DataFrame:
+    """``df`` without the ``rows`` that are not ``kept``, by their ids."""
+    dropped = stage(rows.select(row_id).join(kept.select(row_id), row_id, "left_anti"), "dropped")
+    return lookup_join(df, dropped, [row_id], row_id, "left_anti")
+
+
 def dedup_first(df: DataFrame, key: Column, row_id: str) -> DataFrame:
     """``df`` without the later rows that share ``key`` with an earlier one."""
-    kept = first_rows(df.select(row_id, digest(key).alias("_key")), "_key", row_id)
-    return df.join(kept.select(row_id), row_id, "left_semi")
+    rows = stage(df.select(row_id, digest(key).alias("_key")), "keys")
+    return _without(df, rows, first_rows(rows, "_key", row_id), row_id)
 
 
 def qa_digests(df: DataFrame, question: Column, answer: Column, *keep: Column | str) -> DataFrame:
@@ -51,5 +60,8 @@ def first_pairs(digests: DataFrame, row_id: str) -> DataFrame:
 
 def dedup_qa(df: DataFrame, question: Column, answer: Column, row_id: str) -> DataFrame:
     """``df`` without empty pairs, repeated questions and, after that, repeated answers."""
-    kept = first_pairs(qa_digests(df, question, answer, row_id), row_id)
-    return df.join(kept.select(row_id), row_id, "left_semi")
+    pairs = stage(qa_digests(df, question, answer, row_id), "pairs")
+    full = compute_and_keep(
+        df, df.columns, {"_q": question, "_a": answer}, lambda row: has_text(row["_q"]) & has_text(row["_a"])
+    ).select(*df.columns)
+    return _without(full, pairs, first_pairs(pairs, row_id), row_id)

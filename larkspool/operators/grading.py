@@ -57,7 +57,31 @@ def detail(graded: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def accuracy(graded: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Percentage of matches per group; null if there is nothing to grade."""
-    share = F.sum(F.col("is_match").cast("bigint")) / F.count(F.lit(1))
-    return graded.groupBy(*by).agg((share * 100.0).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+def accuracy(
+    predictions: DataFrame, targets: DataFrame, by: Sequence[str] = ("model",), key: str = "item_id"
+) -> DataFrame:
+    """Percentage of matches over the whole test set per group; null if there are no targets.
+
+    A target without a prediction counts as a wrong answer. ``n`` is what the
+    percentage is of: graded predictions and unanswered targets. ``unanswered``
+    targets and ``orphans``, predictions without a target, are counted.
+    """
+    answers = predictions.withColumn("predicted_answer", boxed_answer(F.col("generation")))
+    known = with_missing(targets, _TARGET).select(key, "final_answer", F.lit(True).alias("_known"))
+    graded = grade(answers.select(*by, key, "predicted_answer").join(known, key, "left"))
+    # Per group and item first: what is counted of an item is one row, however many predictions it has.
+    per_item = graded.groupBy(*by, key).agg(
+        F.count_if(F.col("is_match") & F.col("_known")).alias("matches"),
+        F.count("_known").alias("graded"),
+        F.count_if(F.col("_known").isNull()).alias("orphans"),
+    )
+    sums = per_item.groupBy(*by).agg(
+        F.coalesce(F.sum("matches"), F.lit(0)).alias("matches"),
+        F.coalesce(F.sum("graded"), F.lit(0)).alias("graded"),
+        F.coalesce(F.sum("orphans"), F.lit(0)).alias("orphans"),
+        F.count_if(F.col("graded") > 0).alias("answered"),
+    )
+    unanswered = F.lit(targets.count()) - F.col("answered")
+    sums = sums.withColumn("unanswered", unanswered).withColumn("n", F.col("graded") + F.col("unanswered"))
+    share = F.when(F.col("n") > 0, F.col("matches") / F.col("n") * 100.0)
+    return sums.select(*by, share.alias("accuracy"), "n", "unanswered", "orphans")

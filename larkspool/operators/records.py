@@ -69,15 +69,21 @@ def with_conversation_fallback(df: DataFrame) -> DataFrame:
 def qa_from_turns(turns: DataFrame, record: str, position: str, role: str, content: str) -> DataFrame:
     """``extract_qa`` for messages stored as one row per turn.
 
-    First non-empty user turn and last non-empty assistant turn per record, as an
-    aggregate with a partial step: no record is ever gathered as a list.
+    First non-empty user turn and last non-empty assistant turn per record. Their
+    positions come from a hash aggregate over numbers; the two texts are fetched by
+    them, so turns are not sorted and no record is gathered as a list.
     """
     asked = F.when((F.col(role) == "user") & (F.col(content) != ""), F.col(position))
     replied = F.when((F.col(role) == "assistant") & (F.col(content) != ""), F.col(position))
-    return turns.groupBy(record).agg(
-        _filled(F.min_by(content, asked)).alias("question"),
-        _filled(F.max_by(content, replied)).alias("answer"),
-    )
+    ends = turns.groupBy(record).agg(F.min(asked).alias("_asked"), F.max(replied).alias("_replied"))
+
+    def text(at: str, who: str, name: str) -> DataFrame:
+        said = turns.where((F.col(role) == who) & (F.col(content) != ""))
+        return said.select(record, F.col(position).alias(at), F.col(content).alias(name))
+
+    out = ends.join(text("_asked", "user", "question"), [record, "_asked"], "left")
+    out = out.join(text("_replied", "assistant", "answer"), [record, "_replied"], "left")
+    return out.select(record, _filled(F.col("question")).alias("question"), _filled(F.col("answer")).alias("answer"))
 
 
 def source_label(df: DataFrame, source: str = "source") -> Column:

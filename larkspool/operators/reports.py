@@ -104,19 +104,21 @@ def _side_by_side(wide: DataFrame, title: str, experiments: Sequence[str], extra
     return _with_head(body, [title, "", "| " + " | ".join(titles) + " |", "|" + "|".join(rule) + "|"])
 
 
-def report_by_benchmark(scores: DataFrame, title: str, experiments: Sequence[str]) -> DataFrame:
-    """Markdown table with one line per benchmark and one column per experiment; every benchmark has a line."""
-    every = scores.sparkSession.range(1).select(
+def _every_benchmark(wide: DataFrame) -> DataFrame:
+    """One row for each known benchmark, numbered from 1, whether or not there are scores."""
+    every = wide.sparkSession.range(1).select(
         F.posexplode(F.array(*[F.lit(n) for n in _NAMES])).alias("number", "benchmark")
     )
-    wide = scores_by_benchmark(scores, experiments).drop("number")
-    rows = every.withColumn("number", F.col("number") + 1).join(wide, "benchmark", "left")
-    return _side_by_side(rows, title, experiments, {})
+    return every.withColumn("number", F.col("number") + 1).join(wide.drop("number"), "benchmark", "left")
+
+
+def report_by_benchmark(scores: DataFrame, title: str, experiments: Sequence[str]) -> DataFrame:
+    """Markdown table with one line per benchmark and one column per experiment; every benchmark has a line."""
+    return _side_by_side(_every_benchmark(scores_by_benchmark(scores, experiments)), title, experiments, {})
 
 
 def report_comparison(scores: DataFrame, title: str, baseline: str, finetuned: str) -> DataFrame:
-    """Markdown table of two experiments with the signed change."""
+    """Markdown table of two experiments with the signed change; every benchmark has a line."""
     change = score_cell(F.col("change"), SCORE_WIDTH, signed=True)
-    return _side_by_side(
-        compare(scores, baseline, finetuned), title, [baseline, finetuned], {"Change": change}
-    )
+    wide = _every_benchmark(compare(scores, baseline, finetuned))
+    return _side_by_side(wide, title, [baseline, finetuned], {"Change": change})

@@ -1,7 +1,7 @@
 """Exact samples in draw-key order, allocated per source.
 
-A sample of k rows is "the k smallest draw keys of the stratum". Only tables known
-to be small are ranked as a whole. Otherwise the k-th key is located: draw keys
+A sample of k rows is "the k smallest draw keys of the stratum". The k-th key is
+located, whatever the size of the table: draw keys
 are uniform hexadecimal digests, so counting rows per (stratum, key prefix) shows
 which prefix holds the k-th row, and only the rows of that one prefix are ranked.
 Large strata are counted by longer prefixes, so that there are few counts per
@@ -20,12 +20,10 @@ from pyspark.sql import functions as F
 from larkspool.fixed_values import SEED
 from larkspool.functions.draws import draw_key
 from larkspool.operators.ranks import positions
-from larkspool.operators.staging import is_small, lookup_join, stage
+from larkspool.operators.staging import lookup_join, stage
 
 #: A stratum is counted by prefixes of about this many rows, at least a sixteenth of it.
 ROWS_PER_PREFIX = 50_000
-#: Hexadecimal digits of the prefix when the whole table is one stratum: 4096 counts.
-PREFIX_DIGITS = 3
 
 
 def _up_to(key: Column, row: Column, cut_key: Column, cut_row: Column) -> Column:
@@ -48,15 +46,31 @@ def _nth(*groups: str) -> Column:
 
 
 def _mark_whole(df: DataFrame, quota: int, key: str, row_id: str, name: str, fixed: int) -> DataFrame:
-    """``mark_first`` for a table that is one stratum: the cut becomes a literal."""
+    """``mark_first`` for a table that is one stratum: the cut becomes a literal.
+
+    Prefixes get longer by a digit until the one with the quota's last row has about
+    ROWS_PER_PREFIX rows, so each count has at most 16 prefixes and the last
+    step ranks a bounded number of rows, however large the table.
+    """
     rows = df.select(F.col(key).alias("_key"), F.col(row_id).alias("_row"))
-    rows = rows.withColumn("_prefix", F.substring("_key", 1, fixed + PREFIX_DIGITS))
-    counts = rows.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n")).withColumn("_quota", F.lit(quota))
-    edge = _edge(counts, []).first()
-    if edge is None:
-        return df.withColumn(name, F.lit(False))
-    near = rows.where(F.col("_prefix") == edge["_prefix"]).withColumn("_nth", _nth("_prefix"))
-    cut = near.where(F.col("_nth") == edge["_rest"]).first()
+    start, rest, digits = "", quota, fixed + 1
+    while True:
+        near = rows.where(F.col("_key").startswith(start)).withColumn("_prefix", F.substring("_key", 1, digits))
+        found = near.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n")).orderBy("_prefix").collect()  # a row per digit
+        n = sum(r["_n"] for r in found)
+        if not n or rest < 1:
+            return df.withColumn(name, F.lit(False))
+        rest = min(rest, n)
+        for r in found:
+            if rest <= r["_n"]:
+                break
+            rest -= r["_n"]
+        start = r["_prefix"]
+        if r["_n"] <= ROWS_PER_PREFIX or digits >= fixed + 32:
+            break
+        digits += 1
+    near = rows.where(F.col("_key").startswith(start)).withColumn("_nth", F.row_number().over(Window.orderBy("_key", "_row")))
+    cut = near.where(F.col("_nth") == rest).first()
     return df.withColumn(name, _up_to(F.col(key), F.col(row_id), F.lit(cut["_key"]), F.lit(cut["_row"])))
 
 
@@ -74,17 +88,10 @@ def mark_first(
     ``quota`` is a number, or a table of the strata columns and a bigint ``quota``;
     a stratum that is null or not in the table has no quota. The key consists of
     random hexadecimal digits after ``fixed`` leading characters of another kind.
-    Unless it is small, ``df`` is read four times, of which three times only its
+    ``df`` is read four times, of which three times only its
     strata, key and row id.
     """
     strata = list(strata)
-    if is_small(df):
-        nth = F.row_number().over(Window.partitionBy(*strata).orderBy(key, row_id))
-        if isinstance(quota, DataFrame):
-            marked = df.join(quota, strata, "left")
-            return marked.withColumn(name, F.coalesce(nth <= F.col("quota"), F.lit(False))).drop("quota")
-        has_stratum = [F.col(s).isNotNull() for s in strata]
-        return df.withColumn(name, reduce(Column.__and__, has_stratum, nth <= quota))
     if not strata:
         return _mark_whole(df, quota, key, row_id, name, fixed)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -13,21 +12,14 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 #: Beyond that size, each lookup row is repeated this often so that one key spreads over many tasks.
 SALTS = 64
-#: Tables of up to this many bytes are ranked by one window function instead of in several jobs.
-SMALL_TABLE_BYTES = 4 << 20
-#: Inputs of up to this many bytes are spread over all cores before costly row-wise work.
-SPREAD_BYTES = 1 << 30
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one only on a local master."""
+    """The checkpoint folder of the session, which all executors must share."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larkspool-"))
-    return spark.sparkContext.getCheckpointDir()
+    return folder
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -42,27 +34,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, if it is small enough that moving it costs next to nothing.
-
-    A few files with one row group, or compressed JSON that cannot be split, give
-    fewer tasks than cores. Larger tables stay as they are: there this would be a
-    shuffle of everything for nothing.
-    """
-    small = known_bytes(df) <= SPREAD_BYTES
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
-
-
 def known_bytes(df: DataFrame) -> int:
     """Catalyst's size of ``df`` in bytes; for a staged table, the exact size of its files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether ``df`` is known to be small enough to be sorted by one task."""
-    return known_bytes(df) <= SMALL_TABLE_BYTES
-
-
 def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: str, how: str = "left") -> DataFrame:
     """Join ``big`` with a staged table that has at most one row per key.
 

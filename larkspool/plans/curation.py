@@ -81,12 +81,9 @@ def curate_dataset(
     sizes = dict(chosen.groupBy("split").count().collect())  # three rows
 
     n_raw, n_clean, n_usable = seen.get["all"], seen.get["clean"], usable.count()
-    # Few rows wanted: find them first. Most wanted: first reduce records to what is written.
-    if sum(sizes.values()) * 2 < n_raw:
-        rows = with_curated(raw.join(chosen, row_id))
-    else:
-        rows = with_curated(raw).select(row_id, *COLUMNS[:3], "label").join(chosen, row_id)
-    rows = rows.withColumn("source", F.col("label")).select(row_id, *COLUMNS)
+    # Records are reduced to what is written before they meet the chosen rows; other raw columns can't clash.
+    curated = with_curated(raw).select(row_id, *COLUMNS[:3], F.col("label").alias("source"))
+    rows = curated.join(chosen, row_id).select(row_id, *COLUMNS)
 
     stages = [
         ("source_filter", n_raw, n_clean),

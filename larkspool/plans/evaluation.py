@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspool.fixed_values import BENCHMARKS
-from larkspool.operators.grading import accuracy, grade_generations
+from larkspool.operators.grading import accuracy
 from larkspool.operators.metrics import task_scores
 
 
@@ -16,7 +16,7 @@ def evaluate(
     predictions: DataFrame, targets: DataFrame, results: DataFrame | None = None, key: str = "item_id"
 ) -> DataFrame:
     """Scores (experiment, benchmark, score): graded accuracy and stored benchmark metrics per model."""
-    reasoning = accuracy(grade_generations(predictions, targets, key)).select(
+    reasoning = accuracy(predictions, targets, key=key).select(
         F.col("model").alias("experiment"), F.lit("Reasoning").alias("benchmark"), F.col("accuracy").alias("score")
     )
     if results is None:

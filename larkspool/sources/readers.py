@@ -11,8 +11,8 @@ from larkspool.schemas import RAW, RESULTS
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = RAW) -> DataFrame:
-    """JSON lines; a field that a record lacks reads as null."""
-    return spark.read.schema(schema).json(path)
+    """JSON lines; a field that a record lacks reads as null, a line that is no record is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def read_raw(
@@ -27,7 +27,7 @@ def read_raw(
             return spark.read.parquet(name_or_path)
         return read_jsonl(spark, name_or_path, schema)
     table = spark.table(name_or_path)
-    return table.where(F.col("split") == split) if "split" in table.columns else table
+    return table.where(F.col("split") == split).drop("split") if "split" in table.columns else table
 
 
 def ingest(df: DataFrame, row_id: str = "row_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 from fractions import Fraction
 
 
@@ -10,26 +11,19 @@ def draw(row, purpose, seed=42):
 
 
 def boxed(text):
-    """Last complete box: walk over the openings, matching braces."""
-    answer = ""
-    pieces = iter(range(len(text or "")))
-    i = next(pieces, None)
-    while i is not None:
-        if not text.startswith("\\boxed{", i):
-            i = next(pieces, None)
-            continue
-        depth, start, end = 1, i + 7, None
-        for j in range(start, len(text)):
-            depth += {"{": 1, "}": -1}.get(text[j], 0)
-            if depth == 0:
-                end = j
-                break
-        if end is None:
-            return answer
-        answer = text[start:end].strip()
-        while i is not None and i <= end:
-            i = next(pieces, None)
-    return answer
+    """Content of the last outermost box in front of the first one that never closes."""
+    text = text or ""
+    partner, waiting = {}, []
+    for i, c in enumerate(text):
+        if c == "{":
+            waiting.append(i)
+        elif c == "}" and waiting:
+            partner[waiting.pop()] = i
+    openings = [m.end() - 1 for m in re.finditer(r"\\boxed\{", text)]
+    limit = min((p for p in openings if p not in partner), default=len(text))
+    complete = [p for p in openings if p < limit]
+    outermost = [p for p in complete if not any(q < p < partner[q] for q in complete)]
+    return text[outermost[-1] + 1 : partner[outermost[-1]]].strip() if outermost else ""
 
 
 def normalized(text):

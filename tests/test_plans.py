@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from larkspool.operators.filters import drop_sources
 from larkspool.operators.grading import grade
 from larkspool.operators.records import curate, extract_qa
-from larkspool.operators.staging import shared_folder, spread
+from larkspool.operators.ranks import positions
+from larkspool.operators.staging import shared_folder
 from larkspool.plans.curation import curate_dataset
 from larkspool.schemas import CURATED, RAW
 from larkspool.sources import readers
@@ -65,7 +66,7 @@ def result(curation):
 
 def test_curation_equals_model(spark, strategy):
     # Below and above the number of unique rows.
-    size = 100_000 if strategy == "small" else 150
+    size = 100_000 if strategy == "salted" else 150
     rows = raw_rows(600)
     want, counts = expected(rows, size, 5)
     curation = curate_dataset(spark.createDataFrame(rows, RAW).repartition(9), size, cap=5)
@@ -156,13 +157,12 @@ def test_row_wise_operators_on_a_stream(spark, tmp_path):
     assert sorted(spark.table("graded_stream").collect()) == sorted(work(batch).collect())
 
 
-def test_spread_only_small_inputs(spark, monkeypatch):
-    df = spark.range(0, 100, 1, 1)
-    assert spread(df).rdd.getNumPartitions() == 8
-    from larkspool.operators import staging
-
-    monkeypatch.setattr(staging, "known_bytes", lambda _: 1 << 50)
-    assert spread(df).rdd.getNumPartitions() == 1
+def test_positions_never_use_one_task(spark):
+    """An exploded table is estimated far too small; its order must still come from a range shuffle."""
+    df = spark.range(1000).withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("id", F.col("id") * 20 + F.col("x"))
+    ranged = positions(df.select("id"), ["id"])
+    got = sorted((r.id, r.pos) for r in ranged.collect())
+    assert [p for _, p in got] == list(range(20_000))
 
 
 def test_shared_folder_comes_from_the_session(spark):

