@@ -22,9 +22,10 @@ Equal sets are one node. Entries are counted per key first (with a partial sum i
 so only entries of shared keys meet. A large group does not yield all its pairs: a few pivots,
 among them the member with the most company, are compared with the members that are not yet
 known to be connected with them, and leave the group; groups that lie in one component are
-done, the others get more pivots in the next round. Groups of SMALL_GROUP members or fewer are
-compared as a whole. Pairs are verified by the n-gram sets of the texts themselves, 64-bit
-hashes of whole n-grams.
+done. Groups of SMALL_GROUP members or fewer are compared as a whole. The members of different
+components that are left in large groups meet in blocks of bounded size, as parity sketches
+whose distance never exceeds that of the sets: only pairs near enough come out of a block. Pairs
+are verified by the n-gram sets of the texts themselves, 64-bit hashes of whole n-grams.
 
 Null and empty texts and texts without words have no n-grams and link with nothing; texts of
 fewer words than n have their whole sequence. A null id links with nothing and gets no
@@ -51,10 +52,10 @@ SAMPLE, FREQUENT = 5_000, 6
 RESERVE = 1.15
 #: What a pair that meets costs, in index entries.
 PAIR_COST = 2.0
-#: Groups of up to so many members have all their pairs compared at once.
-SMALL_GROUP = 32
-#: Pivots of a larger group in the first round, and how many times as many in each further one.
-PIVOTS, MORE_PIVOTS = 4, 8
+#: Groups of up to so many members have all their pairs compared at once; pivots of a larger one.
+SMALL_GROUP, PIVOTS = 16, 4
+#: Members of one block of a large group, and 64-bit words of a sketch.
+BLOCK, SKETCH_WORDS = 256, 16
 #: Copies of a group's row that its members are dealt over.
 SALTS = 16
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -287,46 +288,93 @@ def _salted(df: DataFrame) -> DataFrame:
 def _linked(active: DataFrame, texts: DataFrame, plan: Plan, size: int) -> DataFrame:
     """node, component of every node that links with another; a staged table.
 
-    In each round the pivots of a group are compared with its members in other components
-    and leave it. What is left of a group has been compared with every pivot, so when all
-    its members are in one component, or pivots, no link is missed.
+    First the pivots of every group are compared with its other members, and leave it. Then
+    what is left of groups that lie in several components meets in blocks.
     """
-    found = None
-    active = active.withColumn("component", F.col("node"))
-    pivots = PIVOTS
-    while True:
-        groups = active.groupBy("key").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max("own").alias("any_own"),
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.max(F.struct("own", "company", "node")).alias("top"),
-        )
-        groups = groups.where("n > 1 and any_own and low < high").select("key", "n", F.col("top.node").alias("top"))
-        # All members of small groups; of others the one with the most company and some by chance, alike in all groups.
-        chance = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(1 << 30)) * F.col("n") < F.lit(pivots << 30)
-        pivot = F.col("own") & ((F.col("n") <= SMALL_GROUP) | (F.col("node") == F.col("top")) | chance)
-        members = _salted(active).join(_spread(groups), ["key", "salt"]).withColumn("pivot", pivot)
-        members = stage(members.drop("salt", "n", "top"), "join-members")
-        if members.isEmpty():
-            return found if found is not None else components(_no_links(active))
-        first = members.where("pivot").select("key", F.col("node").alias("p"), F.col("component").alias("p_component"))
-        tried = _salted(members).join(_spread(first), ["key", "salt"])
-        tried = tried.where("component <> p_component and (p < node or not pivot)")
-        # The same pair may come from many keys, either way round.
-        tried = tried.groupBy(F.least("p", "node").alias("x"), F.greatest("p", "node").alias("y")).agg(F.max("p").alias("a"))
-        tried = tried.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
-        links = _verified(tried, texts, plan, size).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if found is not None:
-            links = links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        found = components(links)
-        rest = join_by_id(members.where("not pivot").drop("pivot", "component"), found, "node", "left")
-        active = rest.withColumn("component", F.coalesce("component", "node"))
-        pivots *= MORE_PIVOTS
-
-
-def _no_links(df: DataFrame) -> DataFrame:
-    return df.where("false").select(F.col("node").alias("u"), F.col("node").alias("v"))
+    groups = active.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.max("own").alias("any_own"), F.max(F.struct("own", "company", "node")).alias("top")
+    )
+    groups = groups.where("n > 1 and any_own").select("key", "n", F.col("top.node").alias("top"))
+    # All members of small groups; of others the one with the most company and some by chance, alike in all groups.
+    chance = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("n") < F.lit(PIVOTS << 30)
+    pivot = F.col("own") & ((F.col("n") <= SMALL_GROUP) | (F.col("node") == F.col("top")) | chance)
+    members = _salted(active).join(_spread(groups), ["key", "salt"]).withColumn("pivot", pivot)
+    members = stage(members.drop("salt", "top"), "join-members")
+    first = members.where("pivot").select("key", F.col("node").alias("p"))
+    tried = _salted(members).join(_spread(first), ["key", "salt"]).where("p <> node and (p < node or not pivot)")
+    # The same pair may come from many keys, either way round.
+    tried = tried.groupBy(F.least("p", "node").alias("x"), F.greatest("p", "node").alias("y")).agg(F.max("p").alias("a"))
+    tried = tried.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
+    links = _verified(tried, texts, plan, size).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = components(links)
+
+    rest = members.where(~F.col("pivot") & (F.col("n") > SMALL_GROUP)).select("key", "node", "own")
+    rest = join_by_id(rest, found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = stage(rest, "join-rest")
+    groups = rest.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.max("own").alias("any_own"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    groups = stage(groups.where("any_own and low < high").select("key", "n"), "join-open")
+    if groups.isEmpty():
+        return found
+    near = _near_in_blocks(rest, groups, texts, plan, size)
+    links = _verified(near, texts, plan, size).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return components(links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+
+
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Per bit, the parity of the elements that a hash puts there: it differs in no more bits than the sets in elements."""
+    bits = 64 * SKETCH_WORDS
+    odd = np.bincount((elements >> np.uint64(3)) % np.uint64(bits), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
+
+
+def _near_in_blocks(rest: DataFrame, groups: DataFrame, texts: DataFrame, plan: Plan, size: int) -> DataFrame:
+    """a, b: pairs of different components in a group whose sketches allow a link."""
+    num, den = plan.num, plan.den
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(len(s), sketch(s).tobytes()) for s in shingles(utf8(batch.column(1)), size)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([n for n, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())],
+                ["node", "size", "sketch"],
+            )
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right, same in zip(*(batch.column(c).to_pylist() for c in ("left", "right", "same")), strict=True):
+                (a, ca, oa, na, sa), (b, cb, ob, nb, sb) = map(_columns, (left, right))
+                allowed = (den - num) * (na[:, None] + nb[None, :]) // (den + num)
+                apart = np.bitwise_count(sa[:, None, :] ^ sb[None, :, :]).sum(axis=2, dtype=np.int64)
+                hit = (apart <= allowed) & (ca[:, None] != cb[None, :]) & (oa[:, None] | ob[None, :])
+                if same:
+                    hit &= a[:, None] < b[None, :]
+                i, j = np.nonzero(hit)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j]))], ["a", "b"]
+                )
+
+    sketches = stage(texts.select("doc_id", "text").mapInArrow(sketched, "node long, size int, sketch binary"), "join-sketches")
+    members = _salted(rest).join(_spread(groups), ["key", "salt"]).drop("salt")
+    members = members.join(sketches.dropDuplicates(["node"]).hint("merge"), "node")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    packed = members.groupBy("key", "block").agg(
+        F.max("blocks").alias("blocks"), F.collect_list(F.struct("node", "component", "own", "size", "sketch")).alias("members")
+    )
+    packed = stage(packed, "join-blocks")
+    left = packed.select("key", F.col("block").alias("mine"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"), F.col("members").alias("left"))
+    right = packed.select("key", "block", F.col("members").alias("right"))
+    both = left.join(right.hint("merge"), ["key", "block"])
+    met = both.select("left", "right", (F.col("mine") == F.col("block")).alias("same"))
+    return stage(met.mapInArrow(near, "a long, b long").distinct(), "join-pairs")
+
+
+def _columns(members: list[dict]) -> tuple[np.ndarray, ...]:
+    kinds = (("node", np.int64), ("component", np.int64), ("own", bool), ("size", np.int64))
+    columns = [np.array([m[name] for m in members], kind) for name, kind in kinds]
+    return *columns, np.frombuffer(b"".join(m["sketch"] for m in members), np.uint64).reshape(-1, SKETCH_WORDS)
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:

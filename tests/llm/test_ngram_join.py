@@ -58,8 +58,9 @@ def near_copies(seed, n):
 
 @pytest.mark.parametrize(("size", "num", "den", "by_deletion"), [(3, 90, 100, False), (5, 80, 100, False), (2, 80, 100, True), (3, 100, 100, False)])
 def test_links_are_complete_and_exact(docs_of, monkeypatch, size, num, den, by_deletion):
-    monkeypatch.setattr(N, "SMALL_GROUP", 3)
-    monkeypatch.setattr(N, "PIVOTS", 1)
+    monkeypatch.setattr(N, "SMALL_GROUP", 2)
+    monkeypatch.setattr(N, "PIVOTS", 0)
+    monkeypatch.setattr(N, "BLOCK", 5)
     if by_deletion:
         planned = N._planned
         monkeypatch.setattr(N, "_planned", lambda *a: N.Plan(num, den, planned(*a).frequent, frozenset(range(20))))
@@ -108,6 +109,14 @@ def test_pigeonhole(num):
             assert own_a & all_b or own_b & all_a
 
 
+def test_sketches_never_exceed_the_distance_of_the_sets():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        pool = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+        a, b = pool[rng.random(len(pool)) < 0.6], pool[rng.random(len(pool)) < rng.choice([0.1, 0.6, 1.0])]
+        assert np.bitwise_count(N.sketch(a) ^ N.sketch(b)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_word_hashes_are_those_of_the_words():
     texts = [b"Ab  cD\n", None, b"", "é à\x0bX".encode(), b"x" * 300_000 + b" y", b"word " * 120_000, b"\x1ca b"]
     seen = defaultdict(set)
