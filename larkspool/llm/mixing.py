@@ -4,10 +4,11 @@ A classifier trained on a labelled table (naive Bayes over hashed distinct words
 document a posterior over domains. A document's rate is the expected number of times it
 is used. With w its share of all tokens, p its posterior and r its rate, a domain
 expects ``sum w r p`` tokens. The rates minimise the squared distance of these totals from the
-targets by projected gradient descent from rate 1: ``r <- max(least, r - p . g)``, with g what the
-totals are off, scaled by the inverse Gram matrix ``sum w p p'`` of the documents that are not at
-the bound, which makes the curvature 1. After a step that leads away from the targets, the
-Gram matrix of all documents scales the next one, with which steps never do.
+targets by projected gradient descent from rate 1: ``r <- min(most, max(least, r - p . g))``, with
+g what the totals are off, scaled by the inverse Gram matrix ``sum w p p'``. With that of all
+documents the curvature is 1, so no step leads away from the nearest totals within the
+bounds. The matrix of the documents that are not at a bound is tried first, as it
+leads there sooner; such a step is taken back unless it comes a tenth closer.
 
 Every step is one aggregation over a narrow table. Only totals per domain (as many numbers
 as domains) come to the driver; a rate is an expression of the posterior and the steps so
@@ -34,8 +35,10 @@ from larkspool.llm.common import fresh, stage
 LABELLED, BUCKETS = 20_000, 4_096
 #: The words of a text count as this many independent ones at most.
 EVIDENCE = 40.0
-#: Steps at most, and the largest distance from a target share to stop at; four steps without a tenth of progress end it too.
+#: Steps at most, and the largest distance from a target share to stop at; three steps without a tenth of progress end it too.
 STEPS, CLOSE = 25, 1e-5
+#: The most times that a document may be used.
+MOST_RATE = 16.0
 
 
 @dataclass(frozen=True)
@@ -114,7 +117,7 @@ class Rates:
 
         def move(rate: Column, step: Column) -> Column:
             off = sum((F.col(posterior)[k] * step[k] for k in range(len(self.steps[0]))), F.lit(0.0))
-            return F.greatest(F.lit(self.least), rate - off)
+            return F.least(F.lit(MOST_RATE), F.greatest(F.lit(self.least), rate - off))
 
         return F.aggregate(steps, F.lit(1.0), move)
 
@@ -135,7 +138,8 @@ def fit_rates(known: DataFrame, targets: Mapping[str, float], least: float = 0.0
         """Tokens expected per domain, Gram matrices of all and of the free documents, all tokens."""
         rate = rates.of("posterior")
         used = known.withColumn("rate", rate).withColumn("w", F.col("n_tokens").cast("double"))
-        used = used.withColumn("free", F.when(F.col("rate") > rates.least, F.col("w")).otherwise(F.lit(0.0)))
+        inside = (F.col("rate") > rates.least) & (F.col("rate") < MOST_RATE)
+        used = used.withColumn("free", F.when(inside, F.col("w")).otherwise(F.lit(0.0)))
         row = used.agg(
             F.sum("w"),
             *(F.sum(F.col("w") * F.col("rate") * x) for x in p),
@@ -151,18 +155,24 @@ def fit_rates(known: DataFrame, targets: Mapping[str, float], least: float = 0.0
         return rates
     budget = max(1.0, min(most_budget, float(np.max(base / np.maximum(target, 1e-9)))))
     rates = Rates([], least, budget, [])
-    used, before, stalled = base, np.inf, 0
+    used, stalled = base, 0
+
+    def step(gram: np.ndarray, off: np.ndarray) -> list[float]:
+        return (np.linalg.pinv(gram + 1e-9 * np.eye(k)) @ off).tolist()
+
     while True:
         off = used - budget * target
-        rates.shares.append((used / max(1e-300, used.sum())).tolist())
         distance = np.abs(off).max()
-        stalled = 0 if distance < 0.9 * before else stalled + 1
-        if distance < CLOSE or stalled == 4 or len(rates.steps) == STEPS:
+        rates.shares.append((used / max(1e-300, used.sum())).tolist())
+        if distance < CLOSE or stalled == 3 or len(rates.steps) >= STEPS:
             return rates
-        gram = free if distance < before else every
-        before = min(before, distance)
-        rates.steps.append((np.linalg.pinv(gram + 1e-9 * np.eye(k)) @ off).tolist())
-        used, every, free, _ = totals(rates)
+        rates.steps.append(step(free, off))
+        found = totals(rates)
+        if np.abs(found[0] - budget * target).max() > 0.9 * distance:
+            rates.steps[-1] = step(every, off)
+            found = totals(rates)
+        used, every, free, _ = found
+        stalled = stalled + 1 if np.abs(used - budget * target).max() > 0.9 * distance else 0
 
 
 def copies(rate: Column, doc_id: str, seed: int = 42) -> Column:

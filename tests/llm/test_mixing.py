@@ -16,7 +16,7 @@ def corpus(spark, docs_of):
         rows.append((i, " ".join(rng.choice(POOL[domain].split() + ["the", "of"], rng.integers(3, 30)))))
         if i % 3 == 0:
             labels.append((i, str(domain)))
-    rows += [(600, None), (601, ""), (None, "wave ship"), (1, rows[1][1]), (602, "stone road " * 20_000)]
+    rows += [(600, None), (601, ""), (None, "wave ship"), (1, rows[1][1]), (602, "stone road " * 1_000)]
     labels += [(None, "sea"), (5, None), (6, "elsewhere"), labels[0]]
     return docs_of(rows), spark.createDataFrame(labels, "doc_id long, domain string"), rows
 
