@@ -13,9 +13,9 @@ from larkspool.llm.common import ensure_folder, stage
 from larkspool.llm.queries import quality_domains
 
 #: Target shares of words by kind of document, once toxic documents are gone.
-TARGETS = {"q1t0": 0.85, "q0t0": 0.15}
-#: More than the words there are that mixing may use, to repeat documents instead of dropping any.
-MOST_BUDGET = 1.5
+TARGETS = {"q1t0": 0.92, "q0t0": 0.08}
+#: How far a share may be off its target; anything more ends the stage with an error.
+WITHIN = 0.001
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +35,12 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat documents at rates of 1 or more, so that kinds of documents have their shares; none is dropped."""
+    """Repeat documents at rates of 1 or more, so that kinds of documents have their shares; none is dropped.
+
+    The words used are as many as the targets need.
+    """
     labels = quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.mix_documents(docs, labels, TARGETS, least=1.0, most_budget=MOST_BUDGET)
+    return mixing.mix_documents(docs, labels, TARGETS, least=1.0, most_budget=None, within=WITHIN)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

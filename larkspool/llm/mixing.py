@@ -10,6 +10,12 @@ documents the curvature is 1, so no step leads away from the nearest totals with
 bounds. The matrix of the documents that are not at a bound is tried first, as it
 leads there sooner; such a step is taken back unless it comes a tenth closer.
 
+Without a bound on the tokens to use, the rates are those nearest to 1 (by squares, weighed by
+tokens) that reach the shares, whatever tokens that takes: ``min(most, max(least, 1 + (p - t) . m))``
+with t the targets, and m such that ``sum w r (p - t)`` is zero, found by Newton steps on the dual.
+The shares reached are compared with the targets. If one is further off than the caller
+allows, for instance as MOST_RATE is in the way, that is an error, or a warning if the caller names no bound.
+
 Every step is one aggregation over a narrow table. Only totals per domain (as many numbers
 as domains) come to the driver; a rate is an expression of the posterior and the steps so
 far, so no table of rates is rewritten and nothing is shuffled. DataFrame functions only.
@@ -22,6 +28,7 @@ other columns pass through.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -37,6 +44,8 @@ LABELLED, BUCKETS = 20_000, 4_096
 EVIDENCE = 40.0
 #: Steps at most, and the largest distance from a target share to stop at; three steps without a tenth of progress end it too.
 STEPS, CLOSE = 25, 1e-5
+#: The distance of a share from its target that a warning tells.
+TOLD = 1e-3
 #: The most times that a document may be used.
 MOST_RATE = 16.0
 
@@ -103,7 +112,7 @@ def with_posterior(docs: DataFrame, model: DomainModel, name: str, tokens: str,
 
 @dataclass(frozen=True)
 class Rates:
-    """The steps that lead from rate 1 to a document's rate, and the shares reached per step."""
+    """The steps that lead from rate 1 to a document's rate, and the shares on the way to those reached."""
 
     steps: list[list[float]]
     least: float
@@ -121,13 +130,27 @@ class Rates:
 
         return F.aggregate(steps, F.lit(1.0), move)
 
+    def check(self, targets: Mapping[str, float], within: float | None = None) -> None:
+        """Raise a ValueError if a share reached is more than ``within`` off its target; warn of TOLD, if None."""
+        total = sum(targets.values())
+        pairs = {d: (t / total, s) for (d, t), s in zip(targets.items(), self.shares[-1] if self.shares else [])}
+        if all(abs(t - s) <= (TOLD if within is None else within) for t, s in pairs.values()):
+            return
+        text = ", ".join(f"{d} {s:.4f} of {t:.4f}" for d, (t, s) in pairs.items())
+        text = f"shares reached of the targets, at rates from {self.least:g} to {MOST_RATE:g} and {self.budget:.3f} times the tokens: {text}"
+        if within is not None:
+            raise ValueError(text)
+        warnings.warn(text, stacklevel=3)
+
 
-def fit_rates(known: DataFrame, targets: Mapping[str, float], least: float = 0.0, most_budget: float = 1.0) -> Rates:
+def fit_rates(known: DataFrame, targets: Mapping[str, float], least: float = 0.0, most_budget: float | None = 1.0) -> Rates:
     """Rates for the staged table ``known`` (n_tokens, posterior), domains in the order of ``targets``.
 
     The budget is the number of tokens to use, as a multiple of those there are: 1, or, up to
-    ``most_budget``, what it takes for no domain to shrink.
+    ``most_budget``, what it takes for no domain to shrink. It is ``fit_shares`` that has no bound (None).
     """
+    if most_budget is None:
+        return fit_shares(known, targets, least)
     k = len(targets)
     target = np.array(list(targets.values()), float)
     target = target / target.sum()
@@ -175,26 +198,83 @@ def fit_rates(known: DataFrame, targets: Mapping[str, float], least: float = 0.0
         stalled = stalled + 1 if np.abs(used - budget * target).max() > 0.9 * distance else 0
 
 
+def fit_shares(known: DataFrame, targets: Mapping[str, float], least: float = 0.0) -> Rates:
+    """Rates for the staged table ``known`` that reach the target shares with as many tokens as that takes."""
+    k = len(targets)
+    target = np.array(list(targets.values()), float)
+    target = target / target.sum()
+    apart = [F.col("posterior")[i] - F.lit(float(t)) for i, t in enumerate(target)]
+    w = F.col("n_tokens").cast("double")
+
+    def seen(points: list[np.ndarray]) -> tuple[list[tuple[float, float, np.ndarray, np.ndarray, np.ndarray]], float]:
+        """Per point m the dual, tokens used, gradient, Gram matrices of the free and of all documents; all tokens."""
+        used, sums = known, [F.sum(w)]
+        for n, m in enumerate(points):
+            plain = sum((x * float(y) for x, y in zip(apart, m, strict=True)), F.lit(1.0))
+            rate = F.least(F.lit(MOST_RATE), F.greatest(F.lit(least), F.col(f"plain_{n}")))
+            used = used.withColumn(f"plain_{n}", plain).withColumn(f"rate_{n}", rate)
+            plain, rate = F.col(f"plain_{n}"), F.col(f"rate_{n}")
+            free = F.when((rate > least) & (rate < MOST_RATE), w).otherwise(F.lit(0.0))
+            sums += [F.sum(w * (rate * plain - rate * rate / 2)), F.sum(w * rate), *(F.sum(w * rate * x) for x in apart)]
+            sums += [F.sum(v * x * y) for v in (free, w) for x in apart for y in apart]
+        row = used.agg(*sums).first()
+        total = row[0] or 0.0
+        found = np.array([x or 0.0 for x in row[1:]]).reshape(len(points), -1) / max(total, 1.0)
+        grams = found[:, 2 + k :].reshape(len(points), 2, k, k)
+        return [(f[0], f[1], f[2 : 2 + k], *g) for f, g in zip(found, grams, strict=True)], total
+
+    at = np.zeros(k)
+    (now,), total = seen([at])
+    if not total:
+        return Rates([], least, 1.0, [])
+    shares: list[list[float]] = []
+    for _ in range(2 * STEPS):
+        _, budget, gradient, free, every = now
+        shares.append((target + gradient / max(1e-300, budget)).tolist())
+        if np.abs(gradient).max() < CLOSE * budget:
+            break
+        # A step with the matrix of all documents never leads away; one with that of the free ones leads there sooner.
+        newton, safe = (np.linalg.pinv(g + 1e-9 * np.eye(k)) @ gradient for g in (free, every))
+        points = [at - f * s for s, factors in ((newton, (1.0, 0.5, 0.1)), (safe, (1.0, 4.0))) for f in factors]
+        found, _ = seen(points)
+        best = min(range(len(points)), key=lambda i: (found[i][0], i))
+        at, now = points[best], found[best]
+    # As the posteriors of a document add up to 1, (p - t) . m is p . (m - t . m).
+    return Rates([(target @ at - at).tolist()], least, float(now[1]), shares)
+
+
 def copies(rate: Column, doc_id: str, seed: int = 42) -> Column:
     """How often a document is used: its rate, rounded up or down by a draw from its id."""
     draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("int")
 
 
-def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], least: float = 0.0, most_budget: float = 1.0) -> DataFrame:
-    """doc_id, n_tokens, posterior (in the order of ``targets``), rate and copies of every document."""
+def mixed_rates(
+    docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], least: float = 0.0, most_budget: float | None = 1.0, within: float | None = None
+) -> DataFrame:
+    """doc_id, n_tokens, posterior (in the order of ``targets``), rate and copies of every document.
+
+    Shares that differ from the targets are an error beyond ``within``, or a warning if it is None.
+    """
     model = fit_domains(docs, labelled, list(targets))
     known = with_posterior(docs.select("doc_id", "text"), model, "posterior", "n_tokens").select("doc_id", "n_tokens", "posterior")
     known = stage(known, "mixing")
-    rate = fit_rates(known, targets, least, most_budget).of("posterior")
-    return known.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"), "doc_id"))
+    rates = fit_rates(known, targets, least, most_budget)
+    rates.check(targets, within)
+    return known.withColumn("rate", rates.of("posterior")).withColumn("copies", copies(F.col("rate"), "doc_id"))
+
 
+def mix_documents(
+    docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], least: float = 0.0, most_budget: float | None = 1.0, within: float | None = None
+) -> DataFrame:
+    """``docs``, each row as often as its rate says; with ``least`` 1 every document stays.
 
-def mix_documents(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], least: float = 0.0, most_budget: float = 1.0) -> DataFrame:
-    """``docs``, each row as often as its rate says; with ``least`` 1 every document stays."""
+    Shares that differ from the targets are an error beyond ``within``, or a warning if it is None.
+    """
     model = fit_domains(docs, labelled, list(targets))
     known = with_posterior(docs.select("doc_id", "text"), model, "posterior", "n_tokens").select("n_tokens", "posterior")
     rates = fit_rates(stage(known, "mixing"), targets, least, most_budget)
+    rates.check(targets, within)
     name, tokens = fresh("posterior", docs.columns), fresh("n_tokens", docs.columns)
     rate = fresh("rate", docs.columns)
     used = with_posterior(docs, model, name, tokens).withColumn(rate, rates.of(name))

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from larkspool.llm import mixing as M
 
 TARGETS = {"sea": 0.5, "land": 0.3, "air": 0.2}
@@ -69,3 +70,28 @@ def test_no_python_in_the_plan(corpus, tmp_path_factory):
     docs, labels, _ = corpus
     plan = M.mix_documents(docs.sparkSession.read.schema(docs.schema).parquet(str(tmp_path_factory.mktemp("docs"))), labels, TARGETS)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "MapInArrow", "Pandas", "Exchange"))
+
+
+@pytest.mark.parametrize("low", [0.34, 0.5])
+def test_pipeline_stage_reaches_its_targets_from_afar(spark, docs_of, tmp_path, low):
+    """One low-quality source with a third of all rows or more; no document goes."""
+    rng = np.random.default_rng(3)
+    kinds = rng.random(900) < low
+    pool = {True: "buy cheap click now", False: "theorem proof lemma field"}
+    rows = [(i, " ".join(rng.choice(pool[bool(k)].split() + ["the", "of"], rng.integers(5, 40)))) for i, k in enumerate(kinds)]
+    labels = [(i, int(not kinds[i]), 0) for i in range(0, 900, 3)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = [(r["doc_id"], len(r["text"].split())) for r in corpus_pipeline.mixing_stage(spark, docs_of(rows), str(tmp_path)).collect()]
+    assert {i for i, _ in out} == set(range(900))
+    share = sum(n for i, n in out if kinds[i]) / sum(n for _, n in out)
+    assert abs(share - corpus_pipeline.TARGETS["q0t0"]) < 0.015
+
+
+def test_shares_off_the_targets_are_told(corpus):
+    docs, labels, _ = corpus
+    with pytest.warns(UserWarning, match="shares reached"):
+        M.mix_documents(docs, labels, TARGETS, least=1.0, most_budget=1.2)
+    with pytest.raises(ValueError, match="shares reached"):
+        M.mix_documents(docs, labels, TARGETS, least=1.0, most_budget=1.2, within=0.01)
+    with pytest.raises(ValueError, match="shares reached"):
+        M.mix_documents(docs, labels, {"sea": 1.0, "land": 0.0}, least=1.0, most_budget=None, within=0.01)
