@@ -252,7 +252,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     equal = equal.where("rep < other").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = some.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     copies = salted.join(equal, ["hi", "lo", "salt"]).where("rep < doc_id").select("doc_id", "rep")
-    copies = stage(copies, "join-copies")
+    copies = stage(copies.distinct(), "join-copies")
+    # An id of several sets stays a node of its own, linked with the node of each of them.
+    several = some.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("low"), F.max(F.struct("hi", "lo")).alias("high"))
+    several = stage(several.where("low <> high").select("doc_id"), "join-several")
+    tied = join_by_id(copies, several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    copies = stage(join_by_id(copies, several, "doc_id", "left_anti"), "join-nodes-of-copies")
 
     plan = _planned(docs, rows.count(), size, num, den)
     index = _entries(docs, plan, size)
@@ -267,7 +272,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
     wanted = stage(active.select(F.col("node").alias("doc_id")).distinct(), "join-nodes")
     texts = stage(join_by_id(docs, wanted, "doc_id", "left_semi"), "join-texts")
-    linked = _linked(active, texts, plan, size)
+    linked = _linked(active, texts, tied, plan, size)
 
     own_id = rows.where("doc_id is not null").select("doc_id", F.col("n").alias("n_shingles"))
     out = join_by_id(own_id, copies, "doc_id", "left").withColumn("node", F.coalesce("rep", "doc_id"))
@@ -285,8 +290,8 @@ def _salted(df: DataFrame) -> DataFrame:
     return df.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
 
 
-def _linked(active: DataFrame, texts: DataFrame, plan: Plan, size: int) -> DataFrame:
-    """node, component of every node that links with another; a staged table.
+def _linked(active: DataFrame, texts: DataFrame, tied: DataFrame, plan: Plan, size: int) -> DataFrame:
+    """node, component of every node that links with another or is tied to one (u, v); a staged table.
 
     First the pivots of every group are compared with its other members, and leave it. Then
     what is left of groups that lie in several components meets in blocks.
@@ -306,7 +311,7 @@ def _linked(active: DataFrame, texts: DataFrame, plan: Plan, size: int) -> DataF
     tried = tried.groupBy(F.least("p", "node").alias("x"), F.greatest("p", "node").alias("y")).agg(F.max("p").alias("a"))
     tried = tried.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
     links = _verified(tried, texts, plan, size).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found = components(links)
+    found = components(links.unionByName(tied))
 
     rest = members.where(~F.col("pivot") & (F.col("n") > SMALL_GROUP)).select("key", "node", "own")
     rest = join_by_id(rest, found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -357,7 +362,7 @@ def _near_in_blocks(rest: DataFrame, groups: DataFrame, texts: DataFrame, plan:
 
     sketches = stage(texts.select("doc_id", "text").mapInArrow(sketched, "node long, size int, sketch binary"), "join-sketches")
     members = _salted(rest).join(_spread(groups), ["key", "salt"]).drop("salt")
-    members = members.join(sketches.dropDuplicates(["node"]).hint("merge"), "node")
+    members = members.join(sketches.dropDuplicates(["node", "size", "sketch"]).hint("merge"), "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
     packed = members.groupBy("key", "block").agg(

@@ -81,6 +81,16 @@ def test_nulls_and_repeated_rows(docs_of):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([None, 1, 1, 3], key=repr)
 
 
+def test_repeated_rows_of_copies_come_once_each(docs_of):
+    """Repeated ids that are not the smallest of their copies, and ids with several texts, each with copies of its own."""
+    one, two, three = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = [(1, one), (5, one), (5, one), (5, one), (2, two), (7, two), (7, three), (4, three), (8, three), (9, "s t u v w x")]
+    rows += [(20, "aa bb cc dd"), (21, "aa bb cc dd"), (21, "ee ff gg hh"), (22, "ee ff gg hh"), (20, "ii jj kk ll"), (23, "ii jj kk ll")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in N.near_duplicates(docs_of(rows), 3, 90, 100).collect())
+    component = {1: 1, 5: 1, 2: 2, 7: 2, 4: 2, 8: 2, 9: 9, 20: 20, 21: 20, 22: 20, 23: 20}
+    assert got == sorted((i, component[i]) for i, _ in rows)
+
+
 def test_empty_table(docs_of):
     assert N.near_duplicates(docs_of([])).count() == 0
     assert N.drop_near_duplicates(docs_of([])).count() == 0
