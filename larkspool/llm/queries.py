@@ -53,7 +53,7 @@ def quality_domains(labels: DataFrame) -> DataFrame:
 
 
 #: Target shares of tokens by kind of document.
-TARGETS = {"q1t0": 0.86, "q0t0": 0.12, "q1t1": 0.02}
+TARGETS = {"q1t0": 0.86, "q0t0": 0.12, "q1t1": 0.02, "q0t1": 0.0}
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import pytest
 
 import corpus_pipeline
 from larkspool.llm import mixing as M
+from larkspool.llm import queries
 
 TARGETS = {"sea": 0.5, "land": 0.3, "air": 0.2}
 POOL = {"sea": "wave fish ship", "land": "tree stone road", "air": "wind cloud bird"}
@@ -95,3 +96,8 @@ def test_shares_off_the_targets_are_told(corpus):
         M.mix_documents(docs, labels, TARGETS, least=1.0, most_budget=1.2, within=0.01)
     with pytest.raises(ValueError, match="shares reached"):
         M.mix_documents(docs, labels, {"sea": 1.0, "land": 0.0}, least=1.0, most_budget=None, within=0.01)
+
+
+def test_the_query_has_a_target_for_every_kind_of_label(spark):
+    labels = queries.quality_domains(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert {r["domain"] for r in labels.select("domain").distinct().collect()} == set(queries.TARGETS)
