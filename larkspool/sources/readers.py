@@ -53,6 +53,6 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_splits(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """All split files below ``folder`` with their ``split``; a filter on it prunes folders."""
+    """All split files below ``folder`` with their ``split``; a filter on it prunes folders. A broken line is an error."""
     found = T.StructType([*schema.fields, T.StructField("split", T.StringType())])
-    return spark.read.schema(found).json(folder)
+    return read_jsonl(spark, folder, found)
