@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspool.llm import decontamination, line_dedup, mixing, ngram_join, packing, suffix_dedup, toxicity, url_filters, vectors, warc
+from larkspool.llm import (
+    conversations,
+    decontamination,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    periodic_runs,
+    pii_crf,
+    suffix_dedup,
+    toxicity,
+    url_filters,
+    vectors,
+    warc,
+)
 from larkspool.llm.common import ensure_folder
 
 
@@ -152,6 +166,73 @@ _OP10 = f"""
     FROM captures c LEFT JOIN (SELECT * FROM rules WHERE n = 1) x USING (page_id)
 """
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: counts and digest of the base spans, and all spans."""
+    found = pii_crf.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def listed(spans: F.Column) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii_crf.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text: a tenth of the documents repeat their words with a period from some word on."""
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    chosen = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    chosen = chosen.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("g", F.floor(F.col("h") / 10))
+    n = F.size("w")
+    from_ = F.when(n > 0, F.col("g") % n)
+    period = F.expr("1 + (size(w) - a) div (3 + g % 8)")
+    word = "w[int(if(i >= a, a + (i - a) % p, i))]"
+    planted = F.expr(f"array_join(transform(sequence(0, size(w) - 1), i -> {word}), ' ')")
+    chosen = chosen.withColumn("a", from_).withColumn("p", period)
+    return chosen.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least 3 periods and 24 words in all documents, a tenth of which are made periodic."""
+    docs = _with_periods(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.collapse_runs(docs).withColumn("best", periodic_runs.strongest_run())
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(listed, lambda line: F.concat(line, F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, without sentence ends, repeated or given to the user; nulls are one space."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    rows = rows.select(
+        "conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), (F.crc32(key) % 20).alias("k")
+    )
+    text = F.when(F.col("k") == 1, "").when(F.col("k") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("k") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.when(F.col("k") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.where("k <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of all damaged conversations and the cheapest edits that make them sound."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversations.summary(conversations.repair(_damaged(rows))).withColumnRenamed("conv_id", "id")
+    joined = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    digest = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -163,6 +244,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filters": op10_url_filters,
+    "op11_personal_data": op11_personal_data,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 # \\x0b and \\x0c stand for the two control characters among white space.
@@ -272,6 +356,138 @@ _OP7 = f"""
     FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON node = doc_id
 """
 
+#: Table of the cyclic redundancy check of 32 bits, and the check of an ASCII text by it.
+_CRC_TABLE = """
+    crc_table AS (
+        SELECT list(list_reduce(list_concat([k], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                    ORDER BY k) AS t
+        FROM (SELECT unnest(range(256)) AS k)
+    )
+"""
+
+
+def _crc32(text: str) -> str:
+    codes = f"list_transform(range(1, 1 + length({text})), lambda i: CAST(ascii(substr({text}, i, 1)) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {codes}), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])))"
+
+
+_OP12 = f"""
+    WITH {_CRC_TABLE},
+    words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+               {_crc32("CAST(doc_id AS VARCHAR)")} AS h
+        FROM documents, crc_table
+    ),
+    chosen AS (SELECT *, len(w) AS n, (h // 10) % len(w) AS a, 3 + (h // 10) % 8 AS parts FROM words WHERE h % 10 = 0 AND len(w) > 0),
+    planted AS (
+        SELECT doc_id, list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // parts) ELSE i END]) AS w
+        FROM chosen
+        UNION ALL SELECT doc_id, w FROM words WHERE NOT (h % 10 = 0 AND len(w) > 0)
+    ),
+    tokens AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i, len(w) AS n FROM planted),
+    pairs AS (
+        SELECT x.doc_id, y.i - x.i AS q, x.i FROM tokens x JOIN tokens y USING (doc_id, word)
+        WHERE y.i > x.i AND 3 * (y.i - x.i) <= x.n
+    ),
+    islands AS (
+        SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+        FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs)
+        GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)
+    ),
+    runs AS (SELECT doc_id, start, length, min(q) AS period FROM islands GROUP BY doc_id, start, length),
+    dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+    kept AS (
+        SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM tokens ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+    ),
+    listed AS (
+        SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+        FROM runs GROUP BY doc_id
+    ),
+    best AS (
+        SELECT doc_id, start, length, period FROM runs x
+        WHERE NOT EXISTS (
+            SELECT 1 FROM runs y WHERE y.doc_id = x.doc_id AND (y.length * x.period > x.length * y.period
+             OR y.length * x.period = x.length * y.period AND (y.start < x.start OR y.start = x.start AND y.period < x.period)))
+    )
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+           sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+    FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+def _best(*options: str) -> str:
+    """The least (cost, audit, text) of several paths into a state."""
+    return f"list_min([{', '.join(options)}])"
+
+
+def _step(path: str, cost: str, letters: str, said: str = "''") -> str:
+    return f"{{'c': {path}.c + {cost}, 'l': {path}.l || {letters}, 'r': {path}.r || {said}}}"
+
+
+_NOWHERE = "{'c': 1000000000, 'l': '', 'r': ''}"
+_U, _A = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+_OP13 = f"""
+    WITH RECURSIVE {_CRC_TABLE},
+    given AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+        FROM conversations
+    ),
+    damaged AS (
+        SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+               CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(CASE k WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+        FROM (SELECT *, {_crc32("key")} % 20 AS k FROM given, crc_table) WHERE k <> 0
+    ),
+    ordered AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM damaged
+    ),
+    faults AS (
+        SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+               row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AND regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS duplicate,
+               coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal
+        FROM ordered
+    ),
+    rows AS (
+        SELECT *, blank OR duplicate AS goes,
+               NOT blank AND NOT duplicate AND regexp_matches(text, '[^.!?\\x20\\x09-\\x0D][\\x20\\x09-\\x0D]*$') AS truncated
+        FROM faults
+    ),
+    counts AS (
+        SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+               count_if(duplicate) AS duplicate, count_if(truncated) AS truncated, count_if(illegal) AS illegal
+        FROM rows GROUP BY conv_id
+    ),
+    walk AS (
+        SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'l': '', 'r': ''}} AS z, {_NOWHERE} AS s, {_NOWHERE} AS u, {_NOWHERE} AS a FROM counts
+        UNION ALL
+        SELECT conv_id, i + 1,
+               {_step("z", "4", "'D'")},
+               CASE WHEN goes THEN {_step("s", "4", "'D'")}
+                    ELSE {_best(_step("s", "4", "'D'"), f"CASE WHEN first = 's' THEN {_step('z', 'more', "'K'", 'line')} ELSE {_NOWHERE} END")} END,
+               CASE WHEN goes THEN {_step("u", "4", "'D'")}
+                    ELSE {_best(_step("u", "4", "'D'"), *(_step(p, "3 + more", "'R'", f"{_U} || text") for p in "zsa"),
+                                *(f"CASE WHEN first = 'u' THEN {_step(p, 'more', "'K'", 'line')} ELSE {_NOWHERE} END" for p in "zsa"))} END,
+               CASE WHEN goes THEN {_step("a", "4", "'D'")}
+                    ELSE {_best(_step("a", "4", "'D'"), _step("u", "3 + more", "'R'", f"{_A} || text"),
+                                f"CASE WHEN first = 'a' THEN {_step('u', 'more', "'K'", 'line')} ELSE {_NOWHERE} END")} END
+        FROM (
+            SELECT w.conv_id, w.i, z, s, goes, text, left(role, 1) AS first, CASE WHEN truncated THEN 3 ELSE 0 END AS more,
+                   chr(10) || role || ':' || text AS line,
+                   {_best("u", *(_step(p, "3", "'I'", _U) for p in "zsa"))} AS u,
+                   {_best("a", _step("u", "3", "'I'", _A), *(_step(p, "6", "'II'", f"{_U} || {_A}") for p in "zs"))} AS a
+            FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1
+        )
+    ),
+    ends AS (
+        SELECT c.*, {_best("z", "a", _step("u", "3", "'I'", _A), _step("s", "6", "'II'", f"{_U} || {_A}"))} AS p
+        FROM counts c JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n
+    )
+    SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(p.c, 0) AS cost, coalesce(p.l, '') AS audit,
+           sha256(coalesce(substr(p.r, 2), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+
 ORACLE: dict[str, str] = {
     "op1_line_dedup": _OP1,
     "op3_decontamination": _OP3,
@@ -279,4 +495,6 @@ ORACLE: dict[str, str] = {
     "op6_warc": _OP6,
     "op7_ngram_join": _OP7,
     "op10_url_filters": _OP10,
+    "op12_periodic_runs": _OP12,
+    "op13_conversation_repair": _OP13,
 }

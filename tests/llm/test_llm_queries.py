@@ -24,6 +24,22 @@ def test_op9_equals_the_definition(spark):
     assert got == want
 
 
+def test_op11_base_spans_equal_the_patterns(spark):
+    import hashlib
+
+    from tests.llm.test_pii_crf import PATTERNS, expected
+
+    texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    rows = QUERIES["op11_personal_data"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = expected(texts[r["doc_id"]])
+        listed = [f"{kind}:{start}:{end}" for kind, start, end in base]
+        assert [r[f"n_{k}"] for k in PATTERNS] == [sum(b[0] == k for b in base) for k in PATTERNS]
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set(r["spans"].split(",")) or not listed
+
+
 def test_pipeline_stages(spark):
     """Each stage against a plain version on what its predecessor kept."""
     from tests.llm.test_decontamination import expected as hits
