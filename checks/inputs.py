@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -77,10 +77,15 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target answers from ``orders``: 1..50 as integer, fraction or amount; some missing."""
+    """Target answers from ``orders``: 1..50 as integer, fraction or amount; some missing, some long, with an exponent or a name."""
     n = F.col("o_custkey") % 50 + 1
+    rare = (F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 10 == 0)
+    zeros = F.lit("0" * 20)
     answer = (
-        F.when(F.col("o_orderstatus") == "F", n.cast("string"))
+        F.when(rare & (F.col("o_orderpriority") == "2-HIGH"), F.concat(n.cast("string"), zeros, F.lit("/1"), zeros))
+        .when(rare & (F.col("o_orderpriority") == "3-MEDIUM"), F.concat(n.cast("string"), F.lit("0e-1")))
+        .when(rare & (F.col("o_orderpriority") == "4-NOT SPECIFIED"), F.concat(F.lit("x*"), n.cast("string"), F.lit("+1")))
+        .when(F.col("o_orderstatus") == "F", n.cast("string"))
         .when(F.col("o_orderstatus") == "O", F.concat((n * 2).cast("string"), F.lit("/2")))
         .when(F.col("o_orderpriority") != "5-LOW", F.concat(F.lit("$"), n.cast("string"), F.lit(".")))
     )
@@ -96,6 +101,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     discount = F.col("l_discount")
     answer = (
         F.when(discount == 0.05, F.concat(F.lit("x = "), n, F.lit(" cm")))
+        .when((discount == 0.09) & (F.col("l_linenumber") == 3), F.concat(F.lit("1 + "), n, F.lit(" * x")))
+        .when((discount == 0.08) & (F.col("l_linenumber") == 3), F.concat(n, F.lit("." + "0" * 25)))
         .when(discount == 0.1, F.concat(n, F.lit("/1")))
         .when(F.col("l_linestatus") == "F", n)
         .otherwise(F.col("l_quantity").cast("string"))
@@ -112,6 +119,29 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of expressions from ``orders``; every second pair differs by one in a coefficient, some are no expressions."""
+    a, b = F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 1000 + 1).cast("string")
+    off = (F.col("o_orderkey") + F.col("o_orderkey") % 2).cast("string")
+    key = F.col("o_orderkey").cast("string")
+    kind = F.col("o_custkey") % 7
+
+    def pair(left: list[Column | str], right: list[Column | str]) -> Column:
+        parts = [F.concat(*(F.lit(x) if isinstance(x, str) else x for x in side)) for side in (left, right)]
+        return F.struct(parts[0].alias("said"), parts[1].alias("meant"))
+
+    made = (
+        F.when(kind == 0, pair([a, "*x + ", key], [off, "+x*", a]))
+        .when(kind == 1, pair(["(x + ", b, ")*(x - ", b, ") + ", key], ["x^2 + ", off, " - ", b, "**2"]))
+        .when(kind == 2, pair(["(x^2 - y^2)/(x - y) - ", key], ["y - ", off, " + x"]))
+        .when(kind == 3, pair(["-x/", b, " + ", key, ".50"], ["(", off, " + 1/2) - x/", b]))
+        .when(kind == 4, pair([key, "*y**-1"], [off, "/y"]))
+        .when(kind == 5, pair([key, "x"], [off, "*x"]))
+        .otherwise(pair(["f(x) + ", key], [off, " + f(x)"]))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", made.alias("pair")).select("o_orderkey", "o_custkey", "pair.*")
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores per experiment and benchmark from ``orders``: share of large orders."""
     experiment = (
@@ -130,7 +160,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark results from ``part``: one task per model, with varying metric keys."""
+    """Benchmark results from ``part``, as JSON: one task per model, with varying metric keys among other values."""
     value, size = F.col("p_retailprice") / 10000.0, F.col("p_size")
     task = (
         F.when(F.col("p_type") == "ECONOMY", "hellaswag")
@@ -138,21 +168,31 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("p_type") == "LARGE", "gsm8k")
         .otherwise("other")
     )
-
-    def metrics(**values):
-        pairs = [c for k, v in values.items() for c in (F.lit(k), v)]
-        return F.create_map(*pairs)
-
-    found = (
-        F.when(size < 10, metrics(**{"acc,none": value}))
-        .when(size < 20, metrics(acc_norm=value, acc=value / 2))
-        .when(size < 30, metrics(exact_match=value))
-        .when(size < 40, metrics(**{"acc_norm,none": value, "exact_match,strict-match": value / 4, "acc": value / 8}))
-        .otherwise(F.create_map().cast("map<string,double>"))
+    none = F.lit(None).cast("double")
+
+    def metric(when: Column, number: Column) -> Column:
+        return F.when(when, number).otherwise(none)
+
+    mid = (size >= 30) & (size < 40)
+    found = F.struct(
+        task.alias("alias"),
+        F.lit("N/A").alias("acc_stderr,none"),
+        metric(size < 10, value).alias("acc,none"),
+        metric((size >= 10) & (size < 20), value).alias("acc_norm"),
+        metric((size >= 10) & (size < 20), value / 2).alias("acc"),
+        metric((size >= 20) & (size < 30), value).alias("exact_match"),
+        metric(mid, value).alias("acc_norm,none"),
+        metric(mid, value / 4).alias("exact_match,strict-match"),
+        F.when(mid, F.array(value, value)).alias("samples"),
     )
-    return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").cast("string").alias("model"), F.create_map(task, found).alias("results")
+    # At sizes from 30 to 39 the plain accuracy is what is left for a task without its own metric.
+    found = found.withField("acc", F.coalesce(found["acc"], metric(mid, value / 8)))
+    record = F.struct(
+        F.col("p_partkey").cast("string").alias("model"),
+        F.map_from_arrays(F.array(task), F.array(found)).alias("results"),
+        F.struct(F.lit("sample").alias("note"), F.array(F.lit(1)).alias("versions")).alias("config"),
     )
+    return table(spark, sf_dir, "part").select(F.to_json(record).alias("value"))
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks import inputs
 from larkspool.fixed_values import PSYCHOLOGY_SYSTEM_PROMPT
-from larkspool.functions import chat, text
+from larkspool.functions import algebra, chat, text
 from larkspool.operators import dedup, filters, grading, metrics, ordering, records, reports, sampling
 from larkspool.operators.staging import shared_folder, stage
 from larkspool.plans.curation import curate_dataset
@@ -267,6 +267,12 @@ def answer_contains(spark, sf_dir):
     return _pairs(spark, sf_dir).withColumn("same", same)
 
 
+def answer_equivalent(spark, sf_dir):
+    """Pairs of expressions with names, half of them equal by construction."""
+    rows = inputs.expressions(spark, sf_dir)
+    return rows.withColumn("same", algebra.algebra_equal(F.col("said"), F.col("meant")))
+
+
 def _graded(spark, sf_dir):
     return grading.grade_generations(inputs.predictions(spark, sf_dir), inputs.targets(spark, sf_dir))
 
@@ -288,11 +294,11 @@ def accuracy_by_model(spark, sf_dir):
 
 
 def metric_choice(spark, sf_dir):
-    return metrics.task_scores(inputs.results(spark, sf_dir))
+    return metrics.task_scores(readers.parse_results(inputs.results(spark, sf_dir)))
 
 
 def evaluated_models(spark, sf_dir):
-    stored = inputs.results(spark, sf_dir)
+    stored = readers.parse_results(inputs.results(spark, sf_dir))
     return evaluate(inputs.predictions(spark, sf_dir), inputs.targets(spark, sf_dir), stored)
 
 
@@ -353,9 +359,9 @@ def table_scan(spark, sf_dir):
 
 
 def result_files(spark, sf_dir):
-    """Benchmark results written as JSON, read as nested maps and scored."""
+    """Benchmark results as the harness writes them, with texts and lists among the numbers, read as nested maps and scored."""
     folder = _folder(spark)
-    inputs.results(spark, sf_dir).write.json(folder)
+    inputs.results(spark, sf_dir).write.text(folder)
     return metrics.task_scores(readers.read_results(spark, folder))
 
 
@@ -376,7 +382,7 @@ QUERIES = {
         source_distribution, source_allocation, stratified_sample, sample_topup, plain_sample,
         hash_shuffle, head_limit, stratified_order, split_assign, split_capped, batches,
         chat_text, chat_prompt, completion_mask, completion_text, truncated_tokens,
-        answer_cleaned, answer_exact, answer_numeric, answer_contains, graded, graded_detail, accuracy_by_model,
+        answer_cleaned, answer_exact, answer_numeric, answer_contains, answer_equivalent, graded, graded_detail, accuracy_by_model,
         metric_choice, evaluated_models, scores_by_experiment, scores_by_benchmark, compare_change,
         report_by_experiment, report_by_benchmark, report_comparison, training_curves,
         split_files, jsonl_scan, table_scan, result_files, report_file,

@@ -17,7 +17,12 @@ _BOX_TOKENS = r"(\\boxed\{|[{}]|[^{}\\]+|\\)"
 
 # Number literals. Integers have no leading zeros unless they are all zeros; an exponent may follow.
 _NUMBER = r"[+-]?(?:0+|[1-9][0-9]*|[0-9]+\.[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,15})?"
-_FRACTION = rf"^\s*{_NUMBER}\s*(?:/\s*{_NUMBER}\s*)?$"
+FRACTION = rf"^\s*{_NUMBER}\s*(?:/\s*{_NUMBER}\s*)?$"
+# Short numbers and fractions of them, whose cross products fit a decimal.
+_SHORT = r"(?:0|[1-9][0-9]{0,8})(?:\.[0-9]{1,6})?"
+_SHORT_FRACTION = rf"^[+-]?{_SHORT}(?:/{_SHORT})?$"
+# What \s stands for in the patterns above.
+_BLANKS = " \t\n\x0b\f\r"
 # Decimal digits of one group in products of long numbers: a sum of many products of two groups fits a bigint.
 _GROUP = 6
 
@@ -80,13 +85,29 @@ def clean_answer(answer: Column) -> Column:
     return F.rtrim(F.translate(F.lower(answer), " $,", ""), F.lit("."))
 
 
-def _parsed(number: Column) -> tuple[Column, Column, Column]:
-    """A number literal as digits without leading zeros, power of ten, and whether it is negative."""
+def _parsed(number: Column) -> Column:
+    """A number literal as its sign, its digits without zeros around them, and the power of ten of the last one."""
     whole = F.regexp_extract(number, r"^\s*[+-]?([0-9]*)", 1)
     rest = F.regexp_extract(number, r"^\s*[+-]?[0-9]*\.([0-9]*)", 1)
-    power = F.regexp_extract(number, r"[eE]([+-]?[0-9]+)\s*$", 1).try_cast("bigint")
-    digits = F.regexp_replace(F.concat(whole, rest), "^0+", "")
-    return digits, F.coalesce(power, F.lit(0)) - F.length(rest), F.regexp_like(number, F.lit(r"^\s*-"))
+    power = F.coalesce(F.regexp_extract(number, r"[eE]([+-]?[0-9]+)\s*$", 1).try_cast("bigint"), F.lit(0))
+
+    def stripped(found: Column) -> Column:
+        digits = F.ltrim(F.rtrim(found["digits"], F.lit("0")), F.lit("0"))
+        zero = digits == ""
+        zeros = F.length(found["digits"]) - F.length(F.rtrim(found["digits"], F.lit("0")))
+        return F.struct(
+            (~zero & found["negative"]).alias("negative"),
+            digits.alias("digits"),
+            F.when(zero, F.lit(0)).otherwise(found["power"] - found["decimals"] + zeros).cast("bigint").alias("power"),
+        )
+
+    found = F.struct(
+        F.startswith(F.ltrim(number, F.lit(_BLANKS)), F.lit("-")).alias("negative"),
+        F.concat(whole, rest).alias("digits"),
+        F.length(rest).alias("decimals"),
+        power.alias("power"),
+    )
+    return let(found, stripped)
 
 
 def _groups(digits: Column) -> Column:
@@ -130,14 +151,25 @@ def _product(left: Column, right: Column) -> Column:
     return F.when(zero, F.lit("")).when(short, quick).otherwise(_long_product(left, right))
 
 
-def _same(left: tuple[Column, Column], right: tuple[Column, Column]) -> Column:
-    """Whether two (digits, power of ten) have the same value."""
-    def least(digits: Column, power: Column) -> Column:
+def _crossed(top: Column, bottom: Column) -> Column:
+    """Digits without zeros at the end, and power of ten, of the product of two parsed numbers."""
+    def stripped(digits: Column) -> Column:
         bare = F.rtrim(digits, F.lit("0"))
-        power = F.when(bare == "", F.lit(0).cast("bigint")).otherwise(power + F.length(digits) - F.length(bare))
-        return F.struct(bare.alias("digits"), power.cast("bigint").alias("power"))
+        power = top["power"] + bottom["power"] + F.length(digits) - F.length(bare)
+        return F.struct(bare.alias("digits"), F.when(bare == "", F.lit(0)).otherwise(power).cast("bigint").alias("power"))
+
+    return let(_product(top["digits"], bottom["digits"]), stripped)
+
 
-    return least(*left) == least(*right)
+def _short_equal(left: Column, right: Column) -> Column:
+    """Equality of two short fractions, in decimals of the generated code."""
+    def parts(number: Column) -> tuple[Column, Column]:
+        top, bottom = (F.split_part(number, F.lit("/"), F.lit(i)) for i in (1, 2))
+        return top.try_cast("decimal(15,6)"), F.when(bottom == "", F.lit("1")).otherwise(bottom).try_cast("decimal(15,6)")
+
+    (a, b), (c, d) = parts(left), parts(right)
+    crossed = (b != 0) & (d != 0) & (a * d == c * b)
+    return F.when(F.contains(left, F.lit("/")) | F.contains(right, F.lit("/")), crossed).otherwise(a == c)
 
 
 def numeric_equal(left: Column, right: Column) -> Column:
@@ -145,22 +177,32 @@ def numeric_equal(left: Column, right: Column) -> Column:
 
     Numbers compare by their digits and power of ten, fractions by cross
     multiplication, with any number of digits. Everything else, a zero
-    denominator and an exponent of more than 15 digits are not equal.
+    denominator and an exponent of more than 15 digits are not equal. Short
+    numbers compare as decimals; others are parsed once per row and side, and
+    only if both sides are numbers.
     """
-    numbers = F.regexp_like(left, F.lit(_FRACTION)) & F.regexp_like(right, F.lit(_FRACTION))
-
-    def parts(number: Column) -> tuple:
-        top, bottom = (F.split_part(number, F.lit("/"), F.lit(i)) for i in (1, 2))
-        return _parsed(top), _parsed(F.when(bottom == "", F.lit("1")).otherwise(bottom))
-
-    (a, b), (c, d) = parts(left), parts(right)
-    plain = ~F.contains(left, F.lit("/")) & ~F.contains(right, F.lit("/"))
-    zero = (a[0] == "") & (c[0] == "")
-    signs = zero | ((a[2] != b[2]) == (c[2] != d[2]))
-    crossed = _same((_product(a[0], d[0]), a[1] + d[1]), (_product(c[0], b[0]), c[1] + b[1]))
-    fractions = (b[0] != "") & (d[0] != "") & signs & crossed
-    verdict = F.when(~numbers, F.lit(False)).when(plain, (zero | (a[2] == c[2])) & _same(a[:2], c[:2])).otherwise(fractions)
-    return F.coalesce(verdict, F.lit(False))
+    one = F.struct(F.lit(False).alias("negative"), F.lit("1").alias("digits"), F.lit(0).cast("bigint").alias("power"))
+
+    def verdict(sides: Column) -> Column:
+        """From both sides as arrays of a parsed number and, if there is one, its parsed denominator."""
+        def crossed(fractions: Column) -> Column:
+            (a, b), (c, d) = ((fractions[i]["top"], fractions[i]["bottom"]) for i in (0, 1))
+            products = F.transform(
+                F.array(F.struct(a.alias("x"), d.alias("y")), F.struct(c.alias("x"), b.alias("y"))), lambda p: _crossed(p["x"], p["y"])
+            )
+            zero = (a["digits"] == "") & (c["digits"] == "")
+            signs = (a["negative"] != b["negative"]) == (c["negative"] != d["negative"])
+            return (b["digits"] != "") & (d["digits"] != "") & (zero | signs & let(products, lambda p: p[0] == p[1]))
+
+        plain = (F.size(sides[0]) == 1) & (F.size(sides[1]) == 1)
+        fractions = F.transform(sides, lambda s: F.struct(s[0].alias("top"), F.coalesce(F.get(s, F.lit(1)), one).alias("bottom")))
+        return F.when(plain, sides[0] == sides[1]).otherwise(let(fractions, crossed))
+
+    def both(pattern: str) -> Column:
+        return F.regexp_like(left, F.lit(pattern)) & F.regexp_like(right, F.lit(pattern))
+
+    parsed = let(F.transform(F.array(left, right), lambda side: F.transform(F.split(side, "/"), _parsed)), verdict)
+    return F.coalesce(F.when(both(_SHORT_FRACTION), _short_equal(left, right)).when(both(FRACTION), parsed), F.lit(False))
 
 
 def contains_answer(prediction: Column, target: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspool.functions.algebra import algebra_equal
 from larkspool.functions.text import boxed_answer, clean_answer, contains_answer, numeric_equal
 from larkspool.operators.filters import both_filled
 from larkspool.schemas import with_missing
@@ -16,7 +17,7 @@ _TARGET = T.StructType([T.StructField("final_answer", T.StringType())])
 
 
 def grade(df: DataFrame, predicted: str = "predicted_answer", target: str = "final_answer") -> DataFrame:
-    """Add ``match_kind`` (exact, numeric, contains, none) and the verdict ``is_match``.
+    """Add ``match_kind`` (exact, numeric, contains, symbolic, none) and the verdict ``is_match``.
 
     The rules are tried in that order; an empty or missing answer on either side
     never matches. The containment rule is lenient on purpose: target 5 matches
@@ -29,6 +30,7 @@ def grade(df: DataFrame, predicted: str = "predicted_answer", target: str = "fin
         .when(cleaned[0] == cleaned[1], "exact")
         .when(numeric_equal(said, meant), "numeric")
         .when(contains_answer(*cleaned), "contains")
+        .when(algebra_equal(said, meant), "symbolic")
         .otherwise("none")
     )
     return df.withColumn("match_kind", kind).withColumn("is_match", F.col("match_kind") != "none")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,9 +47,39 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(system.globStatus(hadoop_path))
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Stored benchmark results: model and a map task -> metric -> value."""
-    return read_jsonl(spark, path, RESULTS)
+def read_results(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Stored benchmark results: model and a map task -> metric -> value.
+
+    One record per line, or with ``whole_files`` one per file, over as many lines as it likes.
+    """
+    return parse_results(spark.read.text(path, wholetext=whole_files))
+
+
+def parse_results(records: DataFrame) -> DataFrame:
+    """``model`` and ``results`` of JSON records in the column ``value``, whatever else they hold.
+
+    A record names its model in ``model`` or ``model_name``. Of a task's entries only numbers
+    are metrics: texts such as aliases and "N/A", nulls, booleans and nested values are left
+    out, as are tasks that are no objects. A blank line is no record; one that is no JSON
+    object is an error. The literals NaN and Infinity, which some writers use, count as null.
+    """
+    text = F.regexp_replace("value", r"(?<=[:\[,]\s{0,9})(?:NaN|-?Infinity)(?=\s*[,}\]])", "null")
+    whole = records.where(F.regexp_like("value", F.lit(r"\S"))).select(F.parse_json(text).alias("record"))
+    broken = F.raise_error(F.concat(F.lit("no record: "), F.left(F.to_json("record"), F.lit(80))))
+    checked = whole.select(F.when(F.startswith(F.schema_of_variant("record"), F.lit("OBJECT")), F.col("record")).otherwise(broken).alias("record"))
+
+    def entries(value: Column) -> Column:
+        return F.try_variant_get(value, "$", "map<string,variant>")
+
+    def number(value: Column) -> Column:
+        kind = F.regexp_like(F.schema_of_variant(value), F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"))
+        return F.when(kind, F.try_variant_get(value, "$", "double"))
+
+    tasks = F.transform_values(F.try_variant_get("record", "$.results", "map<string,variant>"), lambda _, task: entries(task))
+    tasks = F.map_filter(tasks, lambda _, task: task.isNotNull())
+    metrics = F.transform_values(tasks, lambda _, task: F.map_filter(F.transform_values(task, lambda _, v: number(v)), lambda _, v: v.isNotNull()))
+    names = [F.try_variant_get("record", f"$.{name}", "string") for name in ("model", "model_name")]
+    return checked.select(F.coalesce(*names).alias("model"), metrics.cast(RESULTS["results"].dataType).alias("results"))
 
 
 def read_splits(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:

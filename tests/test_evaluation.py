@@ -6,6 +6,16 @@ from larkspool.schemas import RESULTS, RUN_LOG
 from larkspool.sources import writers
 
 
+def test_grade_expressions_and_long_numbers(spark):
+    cases = [
+        ("x+1", "1+x", "symbolic"), ("x + 1", "x - 1", "none"), ("(x+1)^2", "1+2x", "none"), ("(x+1)**2", "x^2+2*x+1", "symbolic"),
+        ("1" + "0" * 40, "1e40", "numeric"), ("3" + "0" * 30 + "/1" + "0" * 30, "3", "numeric"), ("1e-2", "0.010", "numeric"),
+        ("7" * 40 + "1", "7" * 40 + "2", "none"),
+    ]
+    df = spark.createDataFrame([(i, g, t) for i, (g, t, _) in enumerate(cases)], "i int, predicted_answer string, final_answer string")
+    assert [r.match_kind for r in grading.grade(df).orderBy("i").collect()] == [k for _, _, k in cases]
+
+
 def test_grade_golden(spark):
     cases = [
         ("19", "1", "none"), ("$1,000.", "1000", "exact"), ("1/2", "0.5", "numeric"), (None, "1", "none"),

@@ -141,6 +141,32 @@ def test_read_results(spark, tmp_path):
     assert row.asDict() == stored
 
 
+def test_read_results_ignores_what_is_no_number(spark, tmp_path):
+    metrics = {"acc,none": 0.5, "n": 3, "alias": "mmlu", "acc_stderr,none": "N/A", "x": None, "list": [1, [2]], "flag": True, "text": "0.7"}
+    lines = [
+        json.dumps({"model": "a", "results": {"mmlu": metrics, "notes": 3, "more": [1], "none": None, "empty": {}}, "config": {"s": ":[,NaN"}}),
+        "  ",
+        '{"model_name": "b", "results": {"gsm8k": {"acc": NaN, "exact_match": 1e-1, "p": -Infinity}}}',
+        '{"model": "c"}', '{"results": null}', '{"model": "d", "results": [1]}',
+    ]
+    (tmp_path / "r.json").write_text("\n".join(lines))
+    got = [tuple(r) for r in readers.read_results(spark, str(tmp_path / "r.json")).collect()]
+    assert got == [
+        ("a", {"mmlu": {"acc,none": 0.5, "n": 3.0}, "empty": {}}), ("b", {"gsm8k": {"exact_match": 0.1}}),
+        ("c", None), (None, None), ("d", None),
+    ]
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "whole" / "one.json").write_text(json.dumps({"model": "a", "results": {"mmlu": metrics}}, indent=2))
+    assert [r.results for r in readers.read_results(spark, str(tmp_path / "whole"), whole_files=True).collect()] == [{"mmlu": {"acc,none": 0.5, "n": 3.0}}]
+
+
+@pytest.mark.parametrize("line", ['{"model": "a", "results": {', "[1]", "3"])
+def test_broken_results_are_an_error(spark, tmp_path, line):
+    (tmp_path / "r.json").write_text('{"model": "a", "results": {}}\n' + line + "\n")
+    with pytest.raises(Exception, match="MALFORMED_RECORD|no record"):
+        readers.read_results(spark, str(tmp_path / "r.json")).collect()
+
+
 def test_row_wise_operators_on_a_stream(spark, tmp_path):
     rows = raw_rows(50)
     batch = spark.createDataFrame(rows, RAW)
