@@ -46,7 +46,7 @@ from larkspool.llm.common import extended, fresh, mix, signed, stage, utf8
 #: Bytes of a repeated string, and of the substrings whose hashes make anchors.
 LENGTH, GRAM = 200, 32
 #: Bytes of text that are hashed at a time, and bytes of contexts that are sorted at a time.
-CHUNK, SHARD = 1 << 20, 1 << 20
+CHUNK, SHARD = 1 << 20, 900_000
 #: Different contexts of an anchor that are compared in one task.
 MOST_CONTEXTS = 256
 #: Windows of a block, where there are more.
@@ -111,6 +111,70 @@ def _scan(length: int):
     return scan
 
 
+def _ordered(keys: np.ndarray) -> np.ndarray:
+    """Places in the order of their keys, equal keys in the order of their places: key and place sorted as one number."""
+    bits = len(keys).bit_length()
+    if int(keys.max(initial=0)).bit_length() + bits > 63:
+        return np.argsort(keys, kind="stable")
+    return np.sort((keys << bits) | np.arange(len(keys))) & ((1 << bits) - 1)
+
+
+#: Symbols that the first sort of suffixes looks at.
+FIRST = 5
+
+
+def _sorted_suffixes(symbol: np.ndarray, n_texts: int, length: int) -> np.ndarray:
+    """Suffixes in the order of their first symbols, ``length`` at least; symbols below ``n_texts`` are unique ends.
+
+    A suffix has as its rank the place of the first one that looks the same so far. Each
+    round doubles the symbols looked at, and sorts only suffixes that still share a rank.
+    """
+    n = len(symbol)
+    # An end within the first symbols tells a suffix from all others; what follows it doesn't count.
+    padded = np.concatenate([np.maximum(symbol - n_texts + 1, 0), np.zeros(FIRST, np.int64)])
+    key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
+    for k in range(FIRST):
+        part = padded[k : n + k]
+        open_ &= part > 0
+        key = key * 257 + np.where(open_, part, 0)
+    order = _ordered(key)
+    fresh = np.append(True, (np.diff(key[order]) != 0) | ~open_[order[1:]])
+    head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[order] = head
+    span = FIRST
+    while span < length:
+        shared = ~(fresh & np.append(fresh[1:], True))
+        tied = order[shared]
+        if not len(tied):
+            break
+        tied = np.sort(tied)
+        after = np.zeros(len(tied), np.int64)
+        inside = tied + span < n
+        after[inside] = rank[tied[inside] + span] + 1
+        old = rank[tied]
+        bits = n.bit_length()
+        if 3 * bits <= 63:
+            both = np.sort((old << (2 * bits)) | (after << bits) | np.arange(len(tied)))
+            place = both & ((1 << bits) - 1)
+            both >>= bits
+        else:
+            both = old * (n + 1) + after
+            place = np.argsort(both, kind="stable")
+            both = both[place]
+        moved, old = tied[place], old[place]
+        begins = np.append(True, np.diff(both) != 0)
+        at = np.arange(len(tied))
+        first_of_old = np.maximum.accumulate(np.where(np.append(True, np.diff(old) != 0), at, 0))
+        head = old + np.maximum.accumulate(np.where(begins, at, 0)) - first_of_old
+        rank[moved] = head
+        row = old + at - first_of_old
+        order[row] = moved
+        fresh[row] = begins
+        span *= 2
+    return order
+
+
 def repeated_suffixes(texts: list[bytes], length: int) -> list[np.ndarray]:
     """For every text, the places where a string of ``length`` bytes starts that starts elsewhere in them too."""
     sizes = np.array([len(t) for t in texts])
@@ -118,21 +182,11 @@ def repeated_suffixes(texts: list[bytes], length: int) -> list[np.ndarray]:
     symbol = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + len(texts)
     symbol[ends] = np.arange(len(texts))
     n = len(symbol)
-
-    # Suffixes in the order of their first 2^k >= length symbols; each doubling ranks pairs of ranks.
-    rank, span = np.unique(symbol, return_inverse=True)[1], 1
-    while span < length:
-        after = np.zeros(n, np.int64)
-        after[: n - span] = rank[span:] + 1
-        rank, span = np.unique(rank * (n + 1) + after, return_inverse=True)[1], 2 * span
-        if rank.max() == n - 1:
-            break
-    suffix = np.argsort(rank, kind="stable")
+    suffix = _sorted_suffixes(symbol, len(texts), length)
 
     transform = symbol[suffix - 1]  # the symbol in front of each suffix
-    order = np.argsort(transform, kind="stable")
     to = np.empty(n, np.int64)  # row of the suffix that starts one symbol earlier
-    to[order] = np.arange(n)
+    to[_ordered(transform)] = np.arange(n)
     common = np.full(n + 1, -1, np.int16)  # at i: common prefix of suffixes i - 1 and i
     common[0] = common[n] = 0
     heads = np.flatnonzero(np.diff(symbol[suffix], prepend=-1))
@@ -153,9 +207,8 @@ def repeated_suffixes(texts: list[bytes], length: int) -> list[np.ndarray]:
             owner = np.repeat(np.arange(len(low)), size)
             row = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[owner]
             # Rows of one interval and symbol go to consecutive rows: each such run is an extended interval.
-            where = to[row]
-            sorted_ = np.argsort(where)
-            where, owner = where[sorted_], owner[sorted_]
+            both = np.sort((to[row] << 32) | owner)
+            where, owner = both >> 32, both & 0xFFFFFFFF
             begins_run = (np.diff(where, prepend=-2) != 1) | (np.diff(owner, prepend=-1) != 0) | is_head[where]
             split = np.flatnonzero(begins_run)
             lows.append(where[split])
