@@ -19,7 +19,9 @@ from larkspool.operators.staging import stage
 #: A staged id table of up to this many bytes is broadcast; a larger one is joined by a shuffle.
 ID_BROADCAST_BYTES = 8 << 20
 #: Words that a task remembers at a time.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 100_000
+#: Rows and bytes of a batch that a task turns into Python values at a time.
+PIECE_ROWS, PIECE_BYTES = 1_024, 4 << 20
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)
@@ -41,6 +43,19 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of up to ``rows`` rows and about ``size`` bytes, one row at least.
+
+    Spark's batches hold thousands of whole texts; as Python values these are several times as
+    large, and a worker that is used again for the next task doesn't give memory back by itself.
+    """
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, with underscores in front until no column has it (Spark compares names without case)."""
     lower = {x.lower() for x in taken}
@@ -163,5 +178,5 @@ def extended(schema: StructType, extra: str, keep: list[str] | None = None) -> S
 
 __all__ = [
     "FOLD", "FOLDED_WORD", "ensure_folder", "fresh", "join_by_id", "extended", "mix",
-    "share", "signed", "stage", "staged_bytes", "utf8", "word_hashes",
+    "pieces", "share", "signed", "stage", "staged_bytes", "utf8", "word_hashes",
 ]

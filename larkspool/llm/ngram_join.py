@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspool.llm.common import join_by_id, mix, share, signed, stage, utf8, word_hashes
+from larkspool.llm.common import join_by_id, mix, pieces, share, signed, stage, utf8, word_hashes
 from larkspool.llm.graph import components
 
 #: Documents in the sample that costs are measured on, and how many of them make an element frequent.
@@ -129,7 +129,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n, hi, lo: the number of n-grams and a 128-bit digest of their set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [(len(s), xxhash.xxh3_128_digest(s.tobytes())) for s in shingles(utf8(batch.column(1)), size)]
             digest = np.frombuffer(b"".join(d for _, d in sets), ">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
@@ -147,7 +147,7 @@ def _planned(docs: DataFrame, total: int, size: int, num: int, den: int) -> Plan
     scale = max(1.0, total / SAMPLE)
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sets = {s.tobytes(): s for s in shingles(utf8(batch.column(1)), size)}
             found, n = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(n)], ["element", "n"])
@@ -161,7 +161,7 @@ def _planned(docs: DataFrame, total: int, size: int, num: int, den: int) -> Plan
 
     def both_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared()
-        for batch in batches:
+        for batch in pieces(batches):
             rows = {"band": [], "deletion": [], "key": []}
             for found in shingles(utf8(batch.column(1)), size):
                 for band in plan.bands(len(found)) if len(found) else ():
@@ -187,7 +187,7 @@ def _entries(docs: DataFrame, plan: Plan, size: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, seen = shared(), set()
-        for batch in batches:
+        for batch in pieces(batches):
             keys, nodes, own = [np.zeros(0, np.uint64)], [], []
             ids = batch.column(0).to_pylist()
             for node, found in zip(ids, shingles(utf8(batch.column(1)), size), strict=True):
@@ -217,7 +217,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, plan: Plan, size: int) -> Data
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first = None, None
-        for batch in batches:
+        for batch in pieces(batches):
             linked = []
             others = shingles(utf8(batch.column("text_b")), size)
             for text, other in zip(utf8(batch.column("text_a")), others, strict=True):
@@ -339,7 +339,7 @@ def _near_in_blocks(rest: DataFrame, groups: DataFrame, texts: DataFrame, plan:
     num, den = plan.num, plan.den
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [(len(s), sketch(s).tobytes()) for s in shingles(utf8(batch.column(1)), size)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([n for n, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())],
@@ -347,9 +347,9 @@ def _near_in_blocks(rest: DataFrame, groups: DataFrame, texts: DataFrame, plan:
             )
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for left, right, same in zip(*(batch.column(c).to_pylist() for c in ("left", "right", "same")), strict=True):
-                (a, ca, oa, na, sa), (b, cb, ob, nb, sb) = map(_columns, (left, right))
+        for batch in pieces(batches, rows=1):  # a pair of blocks at a time
+            for same in batch.column("same").to_pylist():
+                (a, ca, oa, na, sa), (b, cb, ob, nb, sb) = (_columns(batch.column(c)) for c in ("left", "right"))
                 allowed = (den - num) * (na[:, None] + nb[None, :]) // (den + num)
                 apart = np.bitwise_count(sa[:, None, :] ^ sb[None, :, :]).sum(axis=2, dtype=np.int64)
                 hit = (apart <= allowed) & (ca[:, None] != cb[None, :]) & (oa[:, None] | ob[None, :])
@@ -376,10 +376,13 @@ def _near_in_blocks(rest: DataFrame, groups: DataFrame, texts: DataFrame, plan:
     return stage(met.mapInArrow(near, "a long, b long").distinct(), "join-pairs")
 
 
-def _columns(members: list[dict]) -> tuple[np.ndarray, ...]:
+def _columns(members: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Node, component, own, size and sketch of the members of one block."""
+    found = members.flatten()
     kinds = (("node", np.int64), ("component", np.int64), ("own", bool), ("size", np.int64))
-    columns = [np.array([m[name] for m in members], kind) for name, kind in kinds]
-    return *columns, np.frombuffer(b"".join(m["sketch"] for m in members), np.uint64).reshape(-1, SKETCH_WORDS)
+    columns = [found.field(name).to_numpy(zero_copy_only=False).astype(kind) for name, kind in kinds]
+    sketches = b"".join(found.field("sketch").to_pylist())
+    return *columns, np.frombuffer(sketches, np.uint64).reshape(-1, SKETCH_WORDS)
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:

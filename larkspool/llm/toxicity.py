@@ -31,10 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspool.llm.common import FOLD, REMEMBERED_WORDS, extended, fresh, share, stage, utf8
+from larkspool.llm.common import FOLD, REMEMBERED_WORDS, extended, fresh, pieces, share, stage, utf8
 
 #: Toxic and unlabelled training texts at most.
 POSITIVES, UNLABELLED = 8_000, 16_000
+#: Features that a task counts before it sends what it has.
+COUNTED = 300_000
 #: Tasks that the sample is spread over.
 SPREAD = 48
 #: Features that take part, and classifiers in the mean.
@@ -117,10 +119,10 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         toxic.clear()
         other.clear()
 
-    for batch in batches:
+    for batch in pieces(batches):
         for raw, positive in zip(utf8(batch.column("text")), batch.column("positive").to_pylist(), strict=True):
             (toxic if positive else other).update(set(words.of(raw)))
-            if len(toxic) + len(other) > 1_000_000:
+            if len(toxic) + len(other) > COUNTED:
                 yield from flush()
     yield from flush()
 
@@ -201,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 42) -> Model:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordFeatures(index)
-        for batch in batches:
+        for batch in pieces(batches):
             found = [Counter(words.of(raw)) for raw in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("positive"), pa.array([[*f] for f in found], pa.list_(pa.int32())),
@@ -223,7 +225,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score", keep: list[st
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared()
-        for batch in batches:
+        for batch in pieces(batches):
             values = pa.array(model.scores(utf8(batch.column("text"))), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), values], [*keep, name])
 
