@@ -486,9 +486,18 @@ WHERE event_type IN ('purchase', 'view') AND value IS NOT NULL""",
     "split_files": _with(
         RAW, CURATED,
         select="""
-SELECT instruction, output, final_answer, curated.source, lang AS split
+SELECT *, pos // 32 AS batch FROM (
+  SELECT instruction, output, final_answer, curated.source, lang AS split, row_number() OVER (PARTITION BY lang ORDER BY row_id) - 1 AS pos
+  FROM curated JOIN documents ON row_id = doc_id)""",
+    ),
+    "training_text": _with(
+        RAW, CURATED,
+        select=f"""
+SELECT lang AS split, row_number() OVER (PARTITION BY lang ORDER BY row_id) - 1 AS pos,
+  {_turn("system", _literal(MATH_SYSTEM_PROMPT))} || {_turn("user", "instruction")} || {_turn("assistant", "output")} AS text
 FROM curated JOIN documents ON row_id = doc_id""",
     ),
+    "ingested_rows": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id, text, lang FROM documents",
     "jsonl_scan": _with(
         RAW, select="SELECT row_id, problem, solution, CAST(len(messages) AS INTEGER) AS n_messages, source FROM raw"
     ),

@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from checks import inputs
 from larkspool.fixed_values import PSYCHOLOGY_SYSTEM_PROMPT
 from larkspool.functions import algebra, chat, text
-from larkspool.operators import dedup, filters, grading, metrics, ordering, records, reports, sampling
+from larkspool.operators import dedup, filters, grading, metrics, ordering, ranks, records, reports, sampling
 from larkspool.operators.staging import shared_folder, stage
 from larkspool.plans.curation import curate_dataset
 from larkspool.plans.evaluation import evaluate
@@ -334,13 +335,35 @@ def training_curves(spark, sf_dir):
 # --- files and tables ---------------------------------------------------------
 
 
-def split_files(spark, sf_dir):
-    """Curated rows with a split per language, written as JSON lines and read back."""
+def _stored_splits(spark, sf_dir):
+    """A folder of curated rows with a split per language, 100 per file; positions are dense within a split."""
     rows = records.curate(inputs.raw_records(spark, sf_dir))
     lang = _documents(spark, sf_dir, F.col("doc_id").alias("row_id"), F.col("lang").alias("split"))
+    order = ranks.positions(rows.join(lang, "row_id"), ["split", "row_id"], "at")
+    first = order.groupBy("split").agg(F.min("at").alias("first"))
+    placed = order.join(F.broadcast(first), "split").withColumn("pos", F.col("at") - F.col("first"))
+    folder = _folder(spark)
+    writers.write_splits(placed.drop("at", "first", "row_id"), folder, rows_per_file=100)
+    return folder
+
+
+def split_files(spark, sf_dir):
+    """Curated rows written as JSON lines and read back in order, with their positions and batches."""
+    rows = readers.read_splits(spark, _stored_splits(spark, sf_dir), CURATED, pos=True)
+    return rows.withColumn("batch", ordering.batch_number(F.col("pos"), 32))
+
+
+def training_text(spark, sf_dir):
+    """Chat text of the stored splits, in order."""
+    return readers.training_text(spark, _stored_splits(spark, sf_dir))
+
+
+def ingested_rows(spark, sf_dir):
+    """Documents written to several files in the order of their ids, and numbered by file and line."""
+    docs = ranks.positions(_documents(spark, sf_dir, "doc_id", "text", "lang"), ["doc_id"])
     folder = _folder(spark)
-    writers.write_splits(rows.join(lang, "row_id").withColumnRenamed("row_id", "pos"), folder)
-    return readers.read_splits(spark, folder, CURATED)
+    writers.write_splits(docs.withColumn("split", F.lit("all")), folder, rows_per_file=150)
+    return readers.ingest(readers.read_jsonl(spark, folder, StructType.fromDDL("doc_id long, text string, lang string"))).drop("split")
 
 
 def jsonl_scan(spark, sf_dir):
@@ -385,6 +408,6 @@ QUERIES = {
         answer_cleaned, answer_exact, answer_numeric, answer_contains, answer_equivalent, graded, graded_detail, accuracy_by_model,
         metric_choice, evaluated_models, scores_by_experiment, scores_by_benchmark, compare_change,
         report_by_experiment, report_by_benchmark, report_comparison, training_curves,
-        split_files, jsonl_scan, table_scan, result_files, report_file,
+        split_files, training_text, ingested_rows, jsonl_scan, table_scan, result_files, report_file,
     )
 }

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspool.operators.staging import stage
-from larkspool.schemas import RAW, RESULTS
+from larkspool.fixed_values import MATH_SYSTEM_PROMPT
+from larkspool.functions.chat import chat_text
+from larkspool.schemas import CURATED, RAW, RESULTS
+from larkspool.sources.lines import line_positions, numbered
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = RAW) -> DataFrame:
@@ -33,11 +35,11 @@ def read_raw(
 def ingest(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Give records without a stable id one, once, and keep them in the shared folder.
 
-    The ids are unique and increase with the line number within a file. They are
-    stored with the records because numbering anew could give other ids. On the
-    way, JSON becomes Parquet, which later passes read by column.
+    Ids count the lines of all files in the order of file names, from 0, and are the same
+    however Spark splits the files. Records that come from no files are counted in the order of a digest of
+    their content. On the way, JSON becomes Parquet, which later passes read by column.
     """
-    return stage(df.withColumn(row_id, F.monotonically_increasing_id()), "ingested")
+    return numbered(df, row_id)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -82,7 +84,16 @@ def parse_results(records: DataFrame) -> DataFrame:
     return checked.select(F.coalesce(*names).alias("model"), metrics.cast(RESULTS["results"].dataType).alias("results"))
 
 
-def read_splits(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """All split files below ``folder`` with their ``split``; a filter on it prunes folders. A broken line is an error."""
-    found = T.StructType([*schema.fields, T.StructField("split", T.StringType())])
-    return read_jsonl(spark, folder, found)
+def read_splits(spark: SparkSession, folder: str, schema: T.StructType, pos: bool = False) -> DataFrame:
+    """All split files below ``folder`` with their ``split``; a filter on it prunes folders. A broken line is an error.
+
+    With ``pos`` the rows have their position within the split, as they were written.
+    """
+    found = read_jsonl(spark, folder, T.StructType([*schema.fields, T.StructField("split", T.StringType())]))
+    return line_positions(found, "pos", ["split"]) if pos else found
+
+
+def training_text(spark: SparkSession, folder: str, system_prompt: str = MATH_SYSTEM_PROMPT) -> DataFrame:
+    """split, pos and chat text of stored curated rows, ready for a tokenizer."""
+    rows = read_splits(spark, folder, CURATED, pos=True)
+    return rows.select("split", "pos", chat_text(F.col("instruction"), F.col("output"), system_prompt).alias("text"))
