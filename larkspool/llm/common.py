@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import re
 import tempfile
@@ -49,11 +51,11 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS, size: int
     Spark's batches hold thousands of whole texts; as Python values these are several times as
     large, and a worker that is used again for the next task doesn't give memory back by itself.
     """
+    give_back()
     for batch in batches:
         step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
-    pa.default_memory_pool().release_unused()
 
 
 def fresh(name: str, taken: list[str]) -> str:
@@ -88,10 +90,24 @@ def join_by_id(docs: DataFrame, lookup: DataFrame, key: str, how: str) -> DataFr
     return joined.drop(own)
 
 
+def give_back() -> None:
+    """Return memory that earlier tasks of this Python worker have freed to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def share(spark: SparkSession, value: object) -> Callable[[], object]:
-    """Broadcast a value of this package's classes; the function gives it to a task."""
+    """Broadcast a value of this package's classes; the function gives it to a task, which then starts with little memory."""
     data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(data.value)
+
+    def load() -> object:
+        give_back()
+        return pickle.loads(data.value)
+
+    return load
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from larkspool.llm.common import pieces as slices
 from larkspool.llm.common import share
 
 #: Tokens of one row, and tokens that a task packs at a time.
@@ -190,7 +191,7 @@ def pack(docs: DataFrame, tokenizer: Tokenizer, row_tokens: int = ROW_TOKENS, pa
                 )
 
         held = 0
-        for batch in batches:
+        for batch in slices(batches):
             arrow_id = batch.schema.field(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = encoder.ids(text)
