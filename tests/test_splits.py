@@ -21,7 +21,7 @@ def _stored(spark, folder, sizes, rows_per_file):
     return sorted(rows)
 
 
-@pytest.mark.parametrize("block", ["64", "1k", "128m"])
+@pytest.mark.parametrize("block", ["300", "4k", "128m"])
 def test_stored_splits_come_back_in_order(spark, tmp_path, block):
     folder = str(tmp_path / "splits")
     rows = _stored(spark, folder, {"train": 700, "eval": 31, "test": 1}, 100)
@@ -37,7 +37,7 @@ def test_ids_do_not_depend_on_the_layout(spark, tmp_path):
     folder = str(tmp_path / "splits")
     rows = _stored(spark, folder, {"a": 400, "b": 300}, 60)
     schema, found = StructType.fromDDL("text string"), []
-    for block in ("100", "3k", "128m"):
+    for block in ("500", "3k", "128m"):
         spark.conf.set("spark.sql.files.maxPartitionBytes", block)
         try:
             numbered = readers.ingest(readers.read_jsonl(spark, folder, schema)).select("row_id", "text").collect()
