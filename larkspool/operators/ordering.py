@@ -86,19 +86,15 @@ def cap_splits(
 
     large = df.where(F.col("split").isin(capped))
     length = F.coalesce(*[F.when(F.col("split") == s, F.lit(sizes[s][0])) for s in capped])
-    share = large.groupBy("split", label).agg(F.count(F.lit(1)).alias("_n"))
-    quota = share.select(
-        "split", label, F.least(F.rint(F.col("_n") / length * F.lit(cap)).cast("bigint"), "_n").alias("quota")
-    )
+    quota = F.least(F.rint(F.col("_size") / length * F.lit(cap)).cast("bigint"), "_size")
     keyed = large.withColumn("_draw", draw_key(F.col(row_id), "cap", seed))
     marked = mark_first(keyed, quota, "_draw", row_id, ["split", label], "_picked").drop("_draw")
     # Repair: picked rows first, then all others, each in random order; keep the first `cap`.
     turn = F.concat(F.when(F.col("_picked"), "0").otherwise("1"), draw_key(F.col(row_id), "repair", seed))
     kept = mark_first(marked.withColumn("_turn", turn), cap, "_turn", row_id, ["split"], "_kept", fixed=1)
-    kept = kept.where("_kept")
-    # At most `cap` rows per split.
-    mixed = Window.partitionBy("split").orderBy(draw_key(F.col(row_id), "mix", seed), row_id)
-    kept = kept.withColumn("pos", F.row_number().over(mixed).cast("bigint") - 1)
+    # One order over all capped splits, each of which now has exactly `cap` rows.
+    mixed = kept.where("_kept").drop("pos", "_kept", "_picked", "_turn").withColumn("_mix", draw_key(F.col(row_id), "mix", seed))
+    kept = positions(mixed, ["split", "_mix", row_id]).withColumn("pos", F.col("pos") % cap)
     return as_is.unionByName(kept.select(*as_is.columns))
 
 

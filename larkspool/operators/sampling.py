@@ -1,20 +1,19 @@
 """Exact samples in draw-key order, allocated per source.
 
-A sample of k rows is "the k smallest draw keys of the stratum". The k-th key is
-located, whatever the size of the table: draw keys
-are uniform hexadecimal digests, so counting rows per (stratum, key prefix) shows
-which prefix holds the k-th row, and only the rows of that one prefix are ranked.
-Large strata are counted by longer prefixes, so that there are few counts per
-stratum and few rows per prefix, whatever the sizes of the strata. The sample is
-then a comparison with the cut, evaluated in the scan; wide rows are never shuffled.
+A sample of k rows is "the k smallest draw keys of the stratum". Draw keys are uniform
+hexadecimal digests, so the k-th of n keys lies near k/n, within a few times
+sqrt(k (n - k) / n^3). One pass counts the strata, a second one counts the rows in front of
+such a bracket and ranks those inside it: about 6 sqrt(n) rows of n, 200,000 of a billion.
+If the k-th row is not in its bracket, which a count shows, the bracket gets wider, so the
+cut is exact. The sample is then a comparison with the cut, evaluated in the scan; wide
+rows are never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from larkspool.fixed_values import SEED
@@ -22,61 +21,90 @@ from larkspool.functions.draws import draw_key
 from larkspool.operators.ranks import positions
 from larkspool.operators.staging import lookup_join, stage
 
-#: A stratum is counted by prefixes of about this many rows, at least a sixteenth of it.
-ROWS_PER_PREFIX = 50_000
+#: Standard deviations on either side of a cut's expected place where it is looked for first, and the factor of each next try.
+SPREAD, WIDER = 6.0, 16.0
+#: Draw keys are compared with brackets by this many leading digits; "g" is behind all digits.
+_DIGITS = 12
+_BEHIND = "g"
 
 
 def _up_to(key: Column, row: Column, cut_key: Column, cut_row: Column) -> Column:
     return F.coalesce((key < cut_key) | ((key == cut_key) & (row <= cut_row)), F.lit(False))
 
 
-def _edge(counts: DataFrame, strata: Sequence[str]) -> DataFrame:
-    """From rows ``_n`` per stratum and prefix: the prefix with the quota's last row, and its rank ``_rest`` there."""
-    whole = Window.partitionBy(*strata)
-    ahead = whole.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumns(
-        {"_ahead": F.coalesce(F.sum("_n").over(ahead), F.lit(0)), "_all": F.sum("_n").over(whole)}
-    ).withColumn("_rest", F.least("_quota", "_all") - F.col("_ahead"))
-    holds = (F.col("_rest") >= 1) & (F.col("_rest") <= F.col("_n"))
-    return placed.where(holds).select(*strata, "_prefix", "_rest")
+def _edges(rows: DataFrame, quota: DataFrame | Column | int, strata: Sequence[str], fixed: int) -> DataFrame:
+    """Per stratum: the rank ``_rank`` of the quota's last row, the lead ``_lead`` it has, its place among the ``_n`` rows of that lead."""
+    for column in strata:
+        rows = rows.where(F.col(column).isNotNull())
+    counts = rows.groupBy(*strata, F.substring("_key", 1, fixed).alias("_lead")).agg(F.count("_key").alias("_n")).where("_n > 0")
+    ahead, size = F.lit(0), F.col("_n")
+    if fixed:
+        whole = Window.partitionBy(*strata)
+        earlier = whole.orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)
+        ahead, size = F.coalesce(F.sum("_n").over(earlier), F.lit(0)), F.sum("_n").over(whole)
+    counts = counts.withColumns({"_ahead": ahead, "_size": size})
+    if isinstance(quota, DataFrame):
+        counts = counts.join(quota.withColumnRenamed("quota", "_quota"), list(strata))
+    else:
+        counts = counts.withColumn("_quota", quota if isinstance(quota, Column) else F.lit(quota).cast("bigint"))
+    rank = F.least("_quota", "_size")
+    holds = (rank > F.col("_ahead")) & (rank <= F.col("_ahead") + F.col("_n"))
+    return counts.where(holds).select(*strata, "_lead", "_n", (rank - F.col("_ahead")).alias("_place"), rank.alias("_rank"))
 
 
-def _nth(*groups: str) -> Column:
-    return F.row_number().over(Window.partitionBy(*groups).orderBy("_key", "_row"))
+def _beside(rows: DataFrame, found: DataFrame | Row, strata: Sequence[str], row_id: str, how: str = "left") -> DataFrame:
+    """Rows with what was found for their stratum: a staged table, or one row if the whole table is a stratum."""
+    if isinstance(found, DataFrame):
+        return lookup_join(rows, found, strata, row_id, how)
+    return rows.withColumns({c: F.lit(v) for c, v in found.asDict().items()})
 
 
-def _mark_whole(df: DataFrame, quota: int, key: str, row_id: str, name: str, fixed: int) -> DataFrame:
-    """``mark_first`` for a table that is one stratum: the cut becomes a literal.
+def _cuts(rows: DataFrame, edges: DataFrame | Row, strata: Sequence[str], spread: float) -> DataFrame:
+    """Key and row id of the quota's last row, for each stratum where it lies within ``spread`` deviations of its expected place."""
+    share = (F.col("_place") - 0.5) / F.col("_n")
+    margin = spread * F.sqrt(share * (1 - share) / F.col("_n")) + spread * spread / F.col("_n")
 
-    Prefixes get longer by a digit until the one with the quota's last row has about
-    ROWS_PER_PREFIX rows, so each count has at most 16 prefixes and the last
-    step ranks a bounded number of rows, however large the table.
-    """
-    rows = df.select(F.col(key).alias("_key"), F.col(row_id).alias("_row"))
-    start, rest, digits = "", quota, fixed + 1
-    while True:
-        near = rows.where(F.col("_key").startswith(start)).withColumn("_prefix", F.substring("_key", 1, digits))
-        found = near.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n")).orderBy("_prefix").collect()  # a row per digit
-        n = sum(r["_n"] for r in found)
-        if not n or rest < 1:
-            return df.withColumn(name, F.lit(False))
-        rest = min(rest, n)
-        for r in found:
-            if rest <= r["_n"]:
-                break
-            rest -= r["_n"]
-        start = r["_prefix"]
-        if r["_n"] <= ROWS_PER_PREFIX or digits >= fixed + 32:
-            break
-        digits += 1
-    near = rows.where(F.col("_key").startswith(start)).withColumn("_nth", F.row_number().over(Window.orderBy("_key", "_row")))
-    cut = near.where(F.col("_nth") == rest).first()
-    return df.withColumn(name, _up_to(F.col(key), F.col(row_id), F.lit(cut["_key"]), F.lit(cut["_row"])))
+    def digits(at: Column) -> Column:
+        return F.lpad(F.lower(F.hex(F.floor(at * F.lit(16.0**_DIGITS)))), _DIGITS, "0")
+
+    low = F.when(share > margin, digits(share - margin)).otherwise("")
+    high = F.when(share + margin < 1, digits(share + margin)).otherwise(_BEHIND)
+    bracket = {"_from": F.concat("_lead", low), "_to": F.concat("_lead", high)}
+    if isinstance(edges, DataFrame):
+        edges = edges.withColumns(bracket).select(*strata, "_from", "_to", "_rank")
+        near = _beside(rows, edges, strata, "_row", "inner")
+    else:
+        near = _beside(rows, edges, strata, "_row").withColumns(bracket)
+    # All rows in front of the bracket become one row per task and stratum before they are shuffled.
+    inside = F.col("_key") >= F.col("_from")
+    places = [F.when(inside, F.col(c)).alias(c) for c in ("_key", "_row")]
+    seen = near.where(F.col("_key") < F.col("_to")).groupBy(*strata, *places).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_rank").alias("_rank")
+    )
+    upto = F.sum("_n").over(Window.partitionBy(*strata).orderBy("_key", "_row"))
+    last = seen.withColumn("_upto", upto).where("_upto >= _rank and _upto - _n < _rank and _key is not null")
+    return last.select(*strata, F.col("_key").alias("_cut_key"), F.col("_row").alias("_cut_row"))
+
+
+def _all_cuts(rows: DataFrame, edges: DataFrame | Row, strata: Sequence[str]) -> DataFrame | Row:
+    """The cut of every stratum, with wider brackets for those that have none yet."""
+    spread = SPREAD
+    if not isinstance(edges, DataFrame):
+        while (cut := _cuts(rows, edges, strata, spread).first()) is None:
+            spread *= WIDER
+        return cut
+    cuts = some = stage(_cuts(rows, edges, strata, spread), "cuts")
+    while some.count() < edges.count():  # both from file footers
+        spread *= WIDER
+        edges = stage(edges.join(some, strata, "left_anti"), "strata")
+        some = stage(_cuts(rows, edges, strata, spread), "cuts")
+        cuts = stage(cuts.unionByName(some), "cuts")
+    return cuts
 
 
 def mark_first(
     df: DataFrame,
-    quota: DataFrame | int,
+    quota: DataFrame | Column | int,
     key: str,
     row_id: str,
     strata: Sequence[str] = (),
@@ -85,33 +113,19 @@ def mark_first(
 ) -> DataFrame:
     """Add the boolean ``name``: whether the row is among the first of its stratum by (key, row id).
 
-    ``quota`` is a number, or a table of the strata columns and a bigint ``quota``;
-    a stratum that is null or not in the table has no quota. The key consists of
-    random hexadecimal digits after ``fixed`` leading characters of another kind.
-    ``df`` is read four times, of which three times only its
-    strata, key and row id.
+    ``quota`` is a number, an expression over the strata columns and the rows ``_size`` of
+    the stratum, or a table of the strata columns and a bigint ``quota``; a stratum that is
+    null or not in the table has no quota. The key consists of random hexadecimal digits
+    after ``fixed`` leading characters of another kind, of which there are few. ``df`` is
+    read three times, of which twice only its strata, key and row id.
     """
     strata = list(strata)
-    if not strata:
-        return _mark_whole(df, quota, key, row_id, name, fixed)
-
     rows = df.select(*strata, F.col(key).alias("_key"), F.col(row_id).alias("_row"))
-    sizes = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("_size"))
-    if isinstance(quota, DataFrame):
-        sizes = sizes.join(quota.withColumnRenamed("quota", "_quota"), strata)
-    else:
-        sizes = sizes.withColumn("_quota", F.lit(quota).cast("bigint"))
-    digits = F.ceil(F.log(F.col("_size") / ROWS_PER_PREFIX) / F.log(F.lit(16.0)))
-    wanted = sizes.where("_quota >= 1").select(
-        *strata, "_quota", F.greatest(digits, F.lit(0)).cast("int").alias("_digits")
-    )
-    rows = lookup_join(rows, stage(wanted, "strata"), strata, "_row", "inner")
-    rows = rows.withColumn("_prefix", F.substr("_key", F.lit(1), F.col("_digits") + fixed))
-    counts = rows.groupBy(*strata, "_prefix").agg(F.count(F.lit(1)).alias("_n"), F.max("_quota").alias("_quota"))
-    near = lookup_join(rows, stage(_edge(counts, strata), "edges"), [*strata, "_prefix"], "_row", "inner")
-    cuts = near.withColumn("_nth", _nth(*strata, "_prefix")).where(F.col("_nth") == F.col("_rest"))
-    cuts = cuts.select(*strata, F.col("_key").alias("_cut_key"), F.col("_row").alias("_cut_row"))
-    marked = lookup_join(df, stage(cuts, "cuts"), strata, row_id)
+    edges = _edges(rows, quota, strata, fixed)
+    edges = stage(edges, "strata") if strata else edges.first()
+    if edges is None:
+        return df.withColumn(name, F.lit(False))
+    marked = _beside(df, _all_cuts(rows, edges, strata), strata, row_id)
     picked = _up_to(F.col(key), F.col(row_id), F.col("_cut_key"), F.col("_cut_row"))
     return marked.withColumn(name, picked).drop("_cut_key", "_cut_row")
 
@@ -125,8 +139,12 @@ def source_distribution(df: DataFrame, source: str = "source") -> DataFrame:
 
 def allocate(df: DataFrame, size: int, source: str = "source") -> DataFrame:
     """Rows to draw per source: share of the table times ``size``, rounded down."""
-    quota = F.least(F.floor(F.col("share") * F.lit(size)), F.col("count"))
-    return source_distribution(df, source).select(source, quota.cast("bigint").alias("quota"))
+    quota = _allocated(F.col("count"), F.col("share"), size)
+    return source_distribution(df, source).select(source, quota.alias("quota"))
+
+
+def _allocated(count: Column, share: Column, size: int) -> Column:
+    return F.least(F.floor(share * F.lit(size)), count).cast("bigint")
 
 
 def _drawn(df: DataFrame, row_id: str, purpose: str, seed: int) -> DataFrame:
@@ -134,7 +152,8 @@ def _drawn(df: DataFrame, row_id: str, purpose: str, seed: int) -> DataFrame:
 
 
 def _mark_strata(df: DataFrame, size: int, row_id: str, source: str, seed: int) -> DataFrame:
-    quota = allocate(df, size, source)
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    quota = _allocated(F.col("_size"), F.col("_size") / total, size)
     return mark_first(_drawn(df, row_id, "strata", seed), quota, "_draw", row_id, [source], "_picked").drop("_draw")
 
 
