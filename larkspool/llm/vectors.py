@@ -13,15 +13,16 @@ A vector is compared within its own cluster and in every cluster that a neighbou
 threshold may belong to: the distance of such a neighbour in the direction of the other
 centroid has standard deviation eps / sqrt(D) with eps the largest distance of linked
 vectors, and clusters nearer than MARGIN such deviations are probed, however many they are.
-Pairs beyond are missed; the tests measure recall against brute force.
+Pairs beyond are missed, unless all clusters are probed; the tests measure recall against brute force.
 
 Identical vectors are one class with a weight. A cluster is compared in blocks of bounded
 size, so a hot one becomes many tasks; a block gives each vector's number of links and a
 spanning forest, never its pairs. Only centroids and cluster sizes pass through the driver.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing. Every
-row counts as a vector. Vectors of different dimension are not compared. A null id
-links with nothing and gets no component.
+row counts as a vector; rows that repeat an id, with equal or different vectors, are counted
+and linked each by its own vector. Vectors of different dimension are not compared. A null
+id links with nothing and gets no component.
 """
 
 from __future__ import annotations
@@ -44,9 +45,11 @@ SAMPLE, PER_CENTROID, CENTROIDS = 20_000, 200, 1_024
 MARGIN, EPSILON = 3.0, 4.0
 #: Vectors of one block on either side.
 MEMBERS, PROBES = 512, 2_048
+#: Parts that a class or tree of many rows is dealt into.
+SALTS = 16
 SEED = 42
 _CODED = (
-    "cluster int, member boolean, vec_id long, weight long, home int, probes array<int>, code binary,"
+    "cluster int, member boolean, class_id long, weight long, home int, probes array<int>, code binary,"
     " factor float, length float, along float, vector binary"
 )
 
@@ -96,7 +99,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _fitted(sample: np.ndarray, n: int, threshold: float) -> Codes:
+def _fitted(sample: np.ndarray, n: int, threshold: float, margin: float | None = MARGIN) -> Codes:
     rng = np.random.default_rng(SEED)
     dim = sample.shape[1]
     k = int(min(CENTROIDS, len(sample), max(1, n // PER_CENTROID)))
@@ -108,7 +111,7 @@ def _fitted(sample: np.ndarray, n: int, threshold: float) -> Codes:
         norms = np.linalg.norm(sums, axis=1)
         centroids = np.where(norms[:, None] > 1e-9, sums / np.maximum(norms, 1e-9)[:, None], centroids)
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-    return Codes(centroids, rotation, MARGIN * np.sqrt(2 - 2 * threshold) / np.sqrt(dim))
+    return Codes(centroids, rotation, np.inf if margin is None else margin * np.sqrt(2 - 2 * threshold) / np.sqrt(dim))
 
 
 def _matrix(column: pa.Array, dtype: type, dim: int) -> np.ndarray:
@@ -142,13 +145,13 @@ def _coded(classes: DataFrame, codes: Codes, dim: int) -> DataFrame:
                         coded += [pa.array(x.astype(np.float32)) for x in (factor, length, along)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array((home if member else cluster).astype(np.int32)), pa.array(np.full(n, member)),
-                         batch.column("vec_id").take(where), batch.column("weight").take(where),
+                         batch.column("class_id").take(where), batch.column("weight").take(where),
                          pa.array(home[take].astype(np.int32)), lists.take(where), *coded,
                          batch.column("vector").take(where)],
                         [c.split()[0] for c in _CODED.split(", ")],
                     )
 
-    return classes.select("vec_id", "weight", "vector").mapInArrow(encode, _CODED)
+    return classes.select("class_id", "weight", "vector").mapInArrow(encode, _CODED)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -166,11 +169,11 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _links_in_block(rows: pa.Table, codes: Codes, dim: int, threshold: float) -> pa.Table:
-    """vec_id, n, root: the links this block adds to a vector, and the smallest vector of its tree."""
+    """class_id, n, root: the links this block adds to a class, and the smallest class of its tree."""
     rows = rows.combine_chunks()
     member = rows.column("member").to_numpy()
     members, probes = rows.filter(pa.array(member)), rows.filter(pa.array(~member))
-    empty = pa.table({"vec_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+    empty = pa.table({"class_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
     if not members.num_rows or not probes.num_rows:
         return empty
     cluster = rows.column("cluster")[0].as_py()
@@ -191,7 +194,7 @@ def _links_in_block(rows: pa.Table, codes: Codes, dim: int, threshold: float) ->
         a, b = i[at : at + 200_000], j[at : at + 200_000]
         kept.append(np.einsum("nd,nd->n", x[a], y[b]) / (x_norm[a] * y_norm[b]) >= threshold)
     kept = np.concatenate(kept)
-    x_id, y_id = probes.column("vec_id").to_numpy(), members.column("vec_id").to_numpy()
+    x_id, y_id = probes.column("class_id").to_numpy(), members.column("class_id").to_numpy()
     kept &= x_id[i] != y_id[j]
     i, j = i[kept], j[kept]
     if not len(i):
@@ -207,11 +210,15 @@ def _links_in_block(rows: pa.Table, codes: Codes, dim: int, threshold: float) ->
     n = np.bincount(place, np.concatenate([n_x, n_y]), len(ids)).astype(np.int64)
     root = ids[_forest(place[: len(x)][i], place[len(x) :][j], len(ids))]
     some = (n > 0) | (root != ids)
-    return pa.table({"vec_id": ids[some], "n": n[some], "root": root[some]})
+    return pa.table({"class_id": ids[some], "n": n[some], "root": root[some]})
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding)."""
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, margin: float | None = MARGIN) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding).
+
+    ``margin`` is in standard deviations; None probes every cluster, at the price of comparing
+    all blocks with each other, so that only the bounds of the estimates can miss a pair.
+    """
     vectors = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"))
     schema = "vec_id long, dim int, hi long, lo long, vector binary"
     rows = stage(vectors.mapInArrow(_vectors, schema), "vectors")
@@ -219,39 +226,44 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     classes = usable.groupBy("dim", "hi", "lo").agg(
         F.min(F.struct("vec_id", "vector")).alias("least"), F.count(F.lit(1)).alias("weight")
     )
-    classes = classes.select("dim", "hi", "lo", "weight", "least.vec_id", "least.vector")
-    classes = stage(classes, "vector-classes")
+    classes = classes.select(
+        F.monotonically_increasing_id().alias("class_id"), "dim", "hi", "lo", "weight", "least.vec_id", "least.vector"
+    )
+    classes = stage(classes, "vector-classes")  # once written, class ids are fixed
 
     links = None
     for dim, n in sorted((r["dim"], r["n"]) for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()):
-        some = _links(classes.where(F.col("dim") == dim), dim, n, threshold)
+        some = _links(classes.where(F.col("dim") == dim), dim, n, threshold, margin)
         links = some if links is None else links.unionByName(some)
     if links is None:
-        links = vectors.sparkSession.createDataFrame([], "vec_id long, n long, root long")
+        links = vectors.sparkSession.createDataFrame([], "class_id long, n long, root long")
     links = stage(links, "vector-links")
-    found = components(links.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
-    counts = links.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    found = components(links.select(F.col("class_id").alias("u"), F.col("root").alias("v")))
+    found = found.withColumnsRenamed({"node": "class_id", "component": "tree"})
+    counts = links.groupBy("class_id").agg(F.sum("n").alias("n"))
     per_class = (
-        classes.select("hi", "lo", "dim", "weight", F.col("vec_id").alias("rep"))
-        .join(counts.withColumnRenamed("vec_id", "rep"), "rep", "left")
-        .join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(
-            "hi", "lo", "dim",
-            (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
-        )
-    )
+        classes.drop("vector")
+        .join(counts, "class_id", "left")
+        .join(found, "class_id", "left")
+        .withColumn("tree", F.coalesce("tree", "class_id"))
+        .withColumn("n_links", F.coalesce("n", F.lit(0)) + F.col("weight") - 1)
+        .select("hi", "lo", "dim", "tree", "vec_id", "n_links", F.pmod("class_id", F.lit(SALTS)).cast("int").alias("salt"))
+    )
+    per_class = stage(per_class, "vector-trees")
+    # The least vector id of each tree; a tree with a third of all classes is spread by the salt.
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    least = per_class.groupBy("tree").agg(F.min("vec_id").alias("component_id")).withColumn("salt", every_salt)
+    per_class = per_class.join(least, ["tree", "salt"]).select("hi", "lo", "dim", "n_links", "component_id")
     # Rows meet their class by a salt, so that a third of all rows in one class is spread.
-    salts = 16
-    per_class = per_class.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = usable.select("vec_id", "dim", "hi", "lo", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int").alias("salt"))
+    per_class = per_class.withColumn("salt", every_salt)
+    salted = usable.select("vec_id", "dim", "hi", "lo", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int").alias("salt"))
     out = salted.join(per_class, ["dim", "hi", "lo", "salt"]).select("vec_id", "n_links", "component_id")
     rest = rows.where("dim is null or vec_id is null")
     rest = rest.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.expr("vec_id = component_id"), F.lit(False)))
 
 
-def _links(classes: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
+def _links(classes: DataFrame, dim: int, n: int, threshold: float, margin: float | None) -> DataFrame:
     spark = classes.sparkSession
     share_ = min(1.0, SAMPLE / n)
     chosen = classes.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share_ * (1 << 30)))
@@ -259,7 +271,7 @@ def _links(classes: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
     if not sample:
         sample = [(r["vec_id"], bytes(r["vector"])) for r in classes.select("vec_id", "vector").limit(1).collect()]
     raw = np.frombuffer(b"".join(v for _, v in sample), np.float64).reshape(-1, dim)
-    codes = _fitted(raw / np.linalg.norm(raw, axis=1)[:, None], n, threshold)
+    codes = _fitted(raw / np.linalg.norm(raw, axis=1)[:, None], n, threshold, margin)
     coded = stage(_coded(classes, codes, dim), "vector-codes")
 
     # One row per centroid: into how many blocks its members and those who probe it are cut.
@@ -268,7 +280,7 @@ def _links(classes: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
         F.ceil(F.sum(F.expr("int(not member)")) / PROBES).cast("int").alias("chunks"),
     )
     sized = coded.join(F.broadcast(sizes), "cluster")
-    number = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(1 << 30))
+    number = F.pmod(F.xxhash64("class_id", F.lit("block")), F.lit(1 << 30))
     mine = F.pmod(number, F.when(F.col("member"), F.col("parts")).otherwise(F.col("chunks"))).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("member"), F.col("chunks")).otherwise(F.col("parts")) - 1)
     sized = sized.where("parts > 0 and chunks > 0").withColumn("mine", mine).withColumn("other", F.explode(others))
@@ -281,4 +293,4 @@ def _links(classes: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
         return _links_in_block(rows, shared(), dim, threshold)
 
     blocks = blocks.drop("parts", "chunks", "mine", "other")
-    return blocks.groupBy("cluster", "part", "chunk").applyInArrow(compare, "vec_id long, n long, root long")
+    return blocks.groupBy("cluster", "part", "chunk").applyInArrow(compare, "class_id long, n long, root long")

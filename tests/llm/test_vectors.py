@@ -53,6 +53,25 @@ def test_links_and_components(table, monkeypatch):
     assert np.mean([g == w for g, w in zip(got, want, strict=True)]) > 0.97
 
 
+def test_probing_all_clusters_finds_all_links(table, monkeypatch):
+    monkeypatch.setattr(V, "PER_CENTROID", 30)
+    df, rows = table
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in V.near_duplicates(df, 0.95, None).collect()), key=repr)
+    assert got == brute(rows, 0.95)
+
+
+def test_an_id_of_several_vectors(spark):
+    """Rows link by their own vectors; a tree is named by the least id in it, so two trees may have one name."""
+    east, north, up = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, east), (1, north), (2, [1.0, 0.01, 0.0]), (3, up), (5, north), (4, up), (4, up), (6, [0.0, 0.01, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in V.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 3, 3, True), (4, 3, 3, False), (4, 3, 3, False),
+                   (5, 1, 1, False), (6, 3, 3, False)]
+    alone = spark.createDataFrame([(1, east), (1, north), (2, east)], "vec_id long, embedding array<double>")
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in V.near_duplicates(alone).collect()) == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
+
+
 def test_estimates_are_unbiased_and_within_their_bounds():
     rng = np.random.default_rng(1)
     codes = V._fitted(np.eye(64)[:1], 1, 0.95)
