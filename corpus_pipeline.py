@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspool.llm import decontamination, mixing, ngram_join, packing, toxicity
-from larkspool.llm.common import ensure_folder, stage
+from larkspool.llm.common import ensure_folder, small_batches, stage
 from larkspool.llm.queries import quality_domains
 
 #: Target shares of words by kind of document, once toxic documents are gone.
@@ -20,17 +20,20 @@ WITHIN = 0.001
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that a classifier trained on the table ``labels`` rejects."""
+    small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold 10 consecutive words of an item of the table ``benchmark``."""
+    small_batches(spark)
     return decontamination.drop_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group linked by a Jaccard similarity of 0.8 or more of 5-word shingles."""
+    small_batches(spark)
     return ngram_join.drop_near_duplicates(docs, size=5, num=80, den=100)
 
 
@@ -45,6 +48,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents in packed rows."""
+    small_batches(spark)
     return packing.pack(docs, packing.Tokenizer.read())
 
 

@@ -24,6 +24,9 @@ ID_BROADCAST_BYTES = 8 << 20
 REMEMBERED_WORDS = 100_000
 #: Rows and bytes of a batch that a task turns into Python values at a time.
 PIECE_ROWS, PIECE_BYTES = 1_024, 4 << 20
+#: Bytes of rows that an executor sends to a Python worker at a time.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)
@@ -40,6 +43,16 @@ def ensure_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the bound on Arrow batches of whole texts to BATCH_BYTES, unless the session has a lower one.
+
+    A batch is held outside of the heap: as growing vectors and a message by the executor and
+    once more by the worker. With Spark's 64 MB that is several hundred MB per running task.
+    """
+    if not 0 < int(spark.conf.get(BATCH_SETTING).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary()).to_pylist()
@@ -194,5 +207,5 @@ def extended(schema: StructType, extra: str, keep: list[str] | None = None) -> S
 
 __all__ = [
     "FOLD", "FOLDED_WORD", "ensure_folder", "fresh", "join_by_id", "extended", "mix",
-    "pieces", "share", "signed", "stage", "staged_bytes", "utf8", "word_hashes",
+    "pieces", "share", "signed", "small_batches", "stage", "staged_bytes", "utf8", "word_hashes",
 ]
