@@ -49,7 +49,8 @@ def small_batches(spark: SparkSession) -> None:
     A batch is held outside of the heap: as growing vectors and a message by the executor and
     once more by the worker. With Spark's 64 MB that is several hundred MB per running task.
     """
-    if not 0 < int(spark.conf.get(BATCH_SETTING).rstrip("b")) <= BATCH_BYTES:
+    bound = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING))
+    if not 0 < bound <= BATCH_BYTES:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
