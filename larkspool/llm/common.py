@@ -26,6 +26,8 @@ REMEMBERED_WORDS = 100_000
 PIECE_ROWS, PIECE_BYTES = 1_024, 4 << 20
 #: Bytes of rows that an executor sends to a Python worker at a time.
 BATCH_BYTES = 8 << 20
+#: Rows of a file of a staged table whose size is known beforehand, and its least number of files.
+ROWS_PER_FILE, LEAST_FILES = 50_000, 12
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.
 FOLD = bytes(
@@ -90,6 +92,15 @@ def staged_bytes(df: DataFrame) -> int:
     return total
 
 
+def stage_few(df: DataFrame, label: str, most: int) -> DataFrame:
+    """Stage a narrow table of at most ``most`` rows in files of a fair size.
+
+    Rounds over a few thousand rows otherwise write one tiny file per shuffle partition each.
+    The number of files follows the rows and never exceeds that of the partitions.
+    """
+    return stage(df.coalesce(max(LEAST_FILES, -(-most // ROWS_PER_FILE))), label)
+
+
 def join_by_id(docs: DataFrame, lookup: DataFrame, key: str, how: str) -> DataFrame:
     """Join wide rows with a staged table of ids; a null id meets a null id.
 
@@ -208,5 +219,5 @@ def extended(schema: StructType, extra: str, keep: list[str] | None = None) -> S
 
 __all__ = [
     "FOLD", "FOLDED_WORD", "ensure_folder", "fresh", "join_by_id", "extended", "mix",
-    "pieces", "share", "signed", "small_batches", "stage", "staged_bytes", "utf8", "word_hashes",
+    "pieces", "share", "signed", "small_batches", "stage", "stage_few", "staged_bytes", "utf8", "word_hashes",
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspool.llm.common import stage
+from larkspool.llm.common import stage, stage_few
 
 #: Copies of a node's minimum that its links are dealt over.
 SALTS = 16
@@ -27,18 +27,19 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links, before = stage(links, "links"), None
+    most = links.count()  # from file footers; no round makes more
     while True:
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = _with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stage(large, "large-star")
+        large = stage_few(large, "large-star", most)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _with_least(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        links = stage(small, "small-star")
+        links = stage_few(small, "small-star", most)
         now = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
         before = now
     roots = links.select(F.col("v").alias("u"), "v").distinct()
-    return stage(links.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component")), "components")
+    return stage_few(links.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component")), "components", 2 * most)

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspool.llm.common import join_by_id, mix, pieces, share, signed, stage, utf8, word_hashes
+from larkspool.llm.common import join_by_id, mix, pieces, share, signed, stage, stage_few, utf8, word_hashes
 from larkspool.llm.graph import components
 
 #: Documents in the sample that costs are measured on, and how many of them make an element frequent.
@@ -245,6 +245,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         raise ValueError("the similarity must be above one half and at most 1")
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     rows = stage(_sets(docs, size), "join-sets")
+    total = rows.count()
 
     # Equal sets are one node, the smallest id. Only sets that repeat are looked up.
     some = rows.where("n > 0 and doc_id is not null")
@@ -252,14 +253,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     equal = equal.where("rep < other").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = some.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     copies = salted.join(equal, ["hi", "lo", "salt"]).where("rep < doc_id").select("doc_id", "rep")
-    copies = stage(copies.distinct(), "join-copies")
+    copies = stage_few(copies.distinct(), "join-copies", total)
     # An id of several sets stays a node of its own, linked with the node of each of them.
     several = some.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("low"), F.max(F.struct("hi", "lo")).alias("high"))
-    several = stage(several.where("low <> high").select("doc_id"), "join-several")
+    several = stage_few(several.where("low <> high").select("doc_id"), "join-several", total)
     tied = join_by_id(copies, several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    copies = stage(join_by_id(copies, several, "doc_id", "left_anti"), "join-nodes-of-copies")
+    copies = stage_few(join_by_id(copies, several, "doc_id", "left_anti"), "join-nodes-of-copies", total)
 
-    plan = _planned(docs, rows.count(), size, num, den)
+    plan = _planned(docs, total, size, num, den)
     index = _entries(docs, plan, size)
     shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any_own"))
     shared = stage(shared.where("n > 1 and any_own").select("key", "n"), "join-keys")
@@ -270,7 +271,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     company = met.groupBy("node").agg(F.sum("n").alias("company"))
     active = stage(met.join(company, "node").select("key", "node", "own", "company"), "join-active")
 
-    wanted = stage(active.select(F.col("node").alias("doc_id")).distinct(), "join-nodes")
+    wanted = stage_few(active.select(F.col("node").alias("doc_id")).distinct(), "join-nodes", total)
     texts = stage(join_by_id(docs, wanted, "doc_id", "left_semi"), "join-texts")
     linked = _linked(active, texts, tied, plan, size)
 
