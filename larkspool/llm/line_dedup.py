@@ -5,10 +5,13 @@ is never dropped. A reference-count table holds, by a 128-bit digest of the key,
 number of documents that have it. Keys that reach the threshold are in the cuckoo filter
 of their shard (16-bit fingerprints, buckets of four). Cuckoo filters forget entries, so
 inserting and deleting documents both are exact updates: counts are summed, and keys that
-cross the threshold enter or leave their filter.
+cross the threshold enter or leave their filter. Deleting more than was inserted is an
+error, as nothing that follows would be exact. When inserts outgrow the shards, these double and
+all filters are built anew from the counts.
 
 To look lines up, (document, key) pairs meet the filter of their shard, dealt by shard and
-by a salt of the document, so a line that a third of all documents have is spread. What
+by a salt of the document. Each shard has as many salts as its own reference counts need, so a
+line that a third of all documents have is spread, and only its filter is copied often. What
 passes the filter is confirmed by a join with the counts. Texts move once, by document id.
 
 Every row of a table of documents counts as a document. Null and empty texts are one empty
@@ -150,6 +153,12 @@ def _built(shard: int, hi: np.ndarray, lo: np.ndarray) -> pa.Table:
     return pa.table({"shard": pa.array([shard], pa.int32()), "data": pa.array([made.dumped()], pa.binary())})
 
 
+def _shards_for(keys: int, shards: int) -> int:
+    while shards * KEYS_PER_SHARD < keys:
+        shards *= 2
+    return shards
+
+
 @dataclass(frozen=True)
 class LineIndex:
     """Reference counts (hi, lo, n) and filters (shard, data), both staged tables."""
@@ -161,12 +170,9 @@ class LineIndex:
 
     @staticmethod
     def build(docs: DataFrame, threshold: int = THRESHOLD) -> LineIndex:
-        """The index of a first table of documents; its size sets the number of shards."""
+        """The index of a first table of documents."""
         counts = stage(key_counts(docs), "line-counts")
-        shards = LEAST_SHARDS
-        while shards * KEYS_PER_SHARD < counts.count():
-            shards *= 2
-        index = LineIndex(counts, counts, shards, threshold)
+        index = LineIndex(counts, counts, _shards_for(counts.count(), LEAST_SHARDS), threshold)
         return replace(index, filters=stage(index._filters(index._frequent()), "line-filters"))
 
     def _shard(self, df: DataFrame) -> DataFrame:
@@ -194,7 +200,10 @@ class LineIndex:
         old = self.counts.select("hi", "lo", F.col("n").alias("old"), F.lit(0).cast("bigint").alias("change"))
         new = delta.select("hi", "lo", F.lit(0).cast("bigint").alias("old"), (F.col("n") * sign).alias("change"))
         both = old.unionByName(new).groupBy("hi", "lo").agg(F.sum("old").alias("old"), F.sum("change").alias("change"))
-        both = stage(both.withColumn("n", F.greatest(F.lit(0), F.expr("old + change"))), "line-counts")
+        both = stage(both.withColumn("n", F.expr("old + change")), "line-counts")
+        missing = both.where("n < 0").count() if sign < 0 else 0
+        if missing:
+            raise ValueError(f"{missing} lines would be deleted from more documents than they were inserted with")
         crossed = (F.col("old") >= self.threshold) != (F.col("n") >= self.threshold)
         moved = self._shard(both.where(crossed)).withColumn("enters", F.col("n") >= self.threshold)
 
@@ -211,13 +220,17 @@ class LineIndex:
                 {"shard": pa.array([group[0].as_py()], pa.int32()), "data": pa.array([data], pa.binary())}
             )
 
+        index = replace(self, counts=both.where("n > 0").select("hi", "lo", "n"))
+        shards = _shards_for(index.counts.count(), self.shards)
+        if shards > self.shards:
+            index = replace(index, shards=shards)
+            return replace(index, filters=stage(index._filters(index._frequent()), "line-filters"))
         filters = (
             moved.select("shard", "hi", "lo", "enters")
             .groupBy("shard")
             .cogroup(self.filters.groupBy("shard"))
             .applyInArrow(update, "shard int, data binary")
         )
-        index = replace(self, counts=both.where("n > 0").select("hi", "lo", "n"))
         filters = stage(filters, "line-filters")
         full = filters.where("data is null").select("shard")  # no room left: built from the counts
         if not full.isEmpty():
@@ -227,8 +240,10 @@ class LineIndex:
 
     def frequent_pairs(self, docs: DataFrame) -> DataFrame:
         """doc_id, hi, lo: the keys of each document that reach the threshold."""
-        total = self.counts.agg(F.sum("n")).first()[0] or 0
-        salts = max(LEAST_SALTS, math.ceil(total / (self.shards * PAIRS_PER_GROUP)))
+        needed = F.greatest(F.lit(LEAST_SALTS), F.ceil(F.sum("n") / PAIRS_PER_GROUP)).cast("int")
+        salts = stage(self._shard(self.counts).groupBy("shard").agg(needed.alias("salts")), "line-salts")
+        salts = F.broadcast(salts)  # one row per shard: 1 row for 250,000 keys
+        salt = F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(LEAST_SALTS))).cast("int")
         id_type = docs.schema["doc_id"].dataType.simpleString()
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,8 +254,8 @@ class LineIndex:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), hi, lo], ["doc_id", "hi", "lo"])
 
         lines = docs.select("doc_id", "text").mapInArrow(pairs, f"doc_id {id_type}, hi long, lo long")
-        lines = self._shard(lines).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-        copies = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        lines = self._shard(lines).join(salts, "shard", "left").withColumn("salt", salt).drop("salts")
+        copies = self.filters.join(salts, "shard").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
 
         def passing(rows: pa.Table, held: pa.Table) -> pa.Table:
             rows = rows.select(["doc_id", "hi", "lo"])

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from larkspool.llm import line_dedup
 from larkspool.llm.line_dedup import CuckooFilter, LineIndex, dedup_lines
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -62,6 +63,32 @@ def test_insert_and_delete_are_exact(docs_of):
     assert got(only_new.drop_lines(docs_of(new))) == expected(new, 5)
 
 
+def test_deleting_what_was_never_inserted_is_an_error(docs_of):
+    index = LineIndex.build(docs_of([(1, "a\nb"), (2, "a")]), threshold=2)
+    with pytest.raises(ValueError, match="2 lines"):
+        index.delete(docs_of([(3, "c\nb\na"), (1, "b")]))
+    back = index.delete(docs_of([(1, "a\nb")])).insert(docs_of([(1, "a\nb")]))
+    assert got(back.drop_lines(docs_of([(1, "a\nb"), (2, "a")]))) == expected([(1, "a\nb"), (2, "a")], 2)
+
+
+def test_shards_grow_and_only_a_hot_one_has_many_salts(docs_of, monkeypatch):
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 2)
+    monkeypatch.setattr(line_dedup, "LEAST_SHARDS", 4)
+    monkeypatch.setattr(line_dedup, "LEAST_SALTS", 1)
+    monkeypatch.setattr(line_dedup, "PAIRS_PER_GROUP", 5)
+    old = [(i, f"hot\nline {i % 3}") for i in range(30)]
+    new = [(i, f"hot\nline {i}") for i in range(30, 70)]
+    index = LineIndex.build(docs_of(old), threshold=4)
+    both = index.insert(docs_of(new))
+    assert (index.shards, both.shards) == (4, 32)
+    assert got(both.drop_lines(docs_of(old + new))) == expected(old + new, 4)
+    staged = []
+    monkeypatch.setattr(line_dedup, "stage", lambda df, label, f=line_dedup.stage: staged.append(f(df, label)) or staged[-1])
+    both.frequent_pairs(docs_of(old))
+    salts = sorted(r["salts"] for r in staged[0].collect())
+    assert salts[-1] >= 14 and sum(salts) < 14 + 3 * 32
+
+
 @pytest.mark.parametrize("n", [1, 50, 3000])
 def test_cuckoo_filter_holds_what_was_inserted(n):
     hi, lo = np.random.default_rng(n).integers(-(2**63), 2**63 - 1, (2, n), dtype=np.int64)
