@@ -46,6 +46,21 @@ def test_record_bytes_parse(archive):
         assert "Evil" not in fields
 
 
+def test_records_have_their_own_ids_and_an_http_head(archive):
+    fields = []
+    for r in warc.read_archive(archive).collect():
+        own, _, http = bytes(r["header"]).partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and http.endswith(b"\r\n\r\n")
+        assert b"Content-Length: %d\r\n" % len(r["payload"]) in http
+        fields.append(warc.header_fields(own))
+    responses = {f["WARC-Record-ID"] for f in fields if f["WARC-Type"] == "response"}
+    assert len({f["WARC-Record-ID"] for f in fields}) == len(PAGES)
+    for f in fields:
+        revisit = f["WARC-Type"] == "revisit"
+        assert (f.get("WARC-Profile") == warc.REVISIT_PROFILE) == revisit
+        assert not revisit or f["WARC-Refers-To"] in responses
+
+
 def test_a_changed_payload_is_found(archive):
     other = archive.payloads.agg(F.max("data")).first()[0]
     broken = warc.Archive(archive.headers, archive.payloads.withColumn("data", F.lit(other)))
