@@ -8,9 +8,10 @@ become validity intervals: each lasts until the next one. A pattern is a domain
 decides.
 
 The as-of join is an equality join on pattern and period of PERIOD_DAYS: an interval is
-laid out over the periods of the captures that it overlaps, a capture lies in one period,
-and what is left is a comparison of times. So a capture meets no more intervals of a pattern than
-there are changes in one period. A host with a third of all captures is dealt out over
+laid out over those periods it overlaps in which something was captured, a capture lies in
+one period, and what is left is a comparison of times. So a capture meets no more intervals
+of a pattern than there are changes in one period, and a stray date far away adds one
+period, not all in between. Only patterns as deep as the deepest of the list are made of a URL. A host with a third of all captures is dealt out over
 periods and SALTS; a list below the size limit is broadcast instead.
 
 Entries of one pattern and time are one entry: block before allow before remove. Null
@@ -36,22 +37,25 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(authority, r"^.*@|:\d*$", "")), r"\.$", "")
 
 
-def patterns_of(url: Column) -> Column:
-    """Every pattern that covers a URL: host suffixes of two labels or more, and host with leading path segments."""
+def patterns_of(url: Column, most_labels: int, most_segments: int) -> Column:
+    """The patterns that cover a URL: host suffixes of two labels or more, and host with leading path segments.
+
+    Only those of up to so many labels and segments, as longer ones are not on the list.
+    """
     labels = F.split(host(url), r"\.")
     suffixes = F.when(
         F.size(labels) >= 2,
         F.transform(
-            F.sequence(F.lit(1), F.size(labels) - 1),
+            F.sequence(F.greatest(F.lit(1), F.least(F.size(labels) - 1, F.size(labels) - most_labels + 1)), F.size(labels) - 1),
             lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."),
         ),
     ).otherwise(F.array(host(url)))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     paths = F.when(
-        F.size(segments) >= 1,
+        (F.size(segments) >= 1) & F.lit(most_segments >= 1),
         F.transform(
-            F.sequence(F.lit(1), F.size(segments)),
+            F.sequence(F.lit(1), F.least(F.size(segments), F.lit(max(1, most_segments)))),
             lambda i: F.concat(host(url), F.lit("/"), F.array_join(F.slice(segments, 1, i), "/")),
         ),
     ).otherwise(F.array().cast("array<string>"))
@@ -80,14 +84,17 @@ def _period(time: Column) -> Column:
 def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id") -> DataFrame:
     """``key``, url, fetch_time of every capture, the deciding pattern and action, and ``blocked``."""
     captures = captures.select(key, "url", F.col("fetch_time").cast("timestamp").alias("fetch_time"))
-    first, last = captures.agg(F.min(_period(F.col("fetch_time"))), F.max(_period(F.col("fetch_time")))).first()
-    rules = intervals(entries)
-    begin = F.greatest(_period(F.col("valid_from")), F.lit(first or 0))
-    end = F.least(F.coalesce(_period(F.col("valid_to")), F.lit(last or 0)), F.lit(last or 0))
-    rules = rules.where(begin <= end).withColumn("period", F.explode(F.sequence(begin, end)))
+    # At most one number per PERIOD_DAYS of the calendar.
+    periods = captures.agg(F.collect_set(_period(F.col("fetch_time"))).alias("periods")).scalar()
+    begin, end = _period(F.col("valid_from")), _period(F.col("valid_to"))
+    overlapped = F.filter("periods", lambda p: (p >= begin) & (end.isNull() | (p <= end)))
+    rules = intervals(entries).withColumn("periods", periods).withColumn("period", F.explode(overlapped)).drop("periods")
     rules = stage(rules, "url-rules")
 
-    tried = captures.withColumn("pattern", F.explode_outer(patterns_of(F.col("url"))))
+    pattern = F.col("pattern").cast("string")
+    parts = [F.max(F.length(pattern) - F.length(F.replace(pattern, F.lit(x), F.lit("")))) for x in (".", "/")]
+    dots, slashes = entries.agg(*parts).first()
+    tried = captures.withColumn("pattern", F.explode_outer(patterns_of(F.col("url"), (dots or 0) + 1, slashes or 0)))
     tried = tried.withColumn("period", _period(F.col("fetch_time")))
     on = ["pattern", "period"]
     if staged_bytes(rules) <= ID_BROADCAST_BYTES:

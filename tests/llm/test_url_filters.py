@@ -36,6 +36,22 @@ def test_entries_active_at_fetch_time_decide(tables, monkeypatch, limit):
     assert got == want
 
 
+def test_a_date_far_away_adds_one_period(tables, spark, monkeypatch):
+    captures, entries = tables
+    far = spark.createDataFrame([(16, "http://example.com/", datetime(9999, 12, 1))], "page_id long, url string, fetch_time timestamp")
+    staged = []
+    monkeypatch.setattr(U, "stage", lambda df, label, f=U.stage: staged.append(f(df, label)) or staged[-1])
+    got = U.evaluate(captures.drop("pattern").unionByName(far), entries).where("page_id = 16").first()
+    assert got["action"] == "block" and staged[0].count() < 60
+
+
+def test_only_patterns_as_deep_as_the_list(spark):
+    url = spark.createDataFrame([("http://a.b.c.d.org/1/2/3",)], "url string")
+    made = url.select(U.patterns_of(url["url"], 3, 2).alias("p")).first()["p"]
+    assert made == ["c.d.org", "d.org", "a.b.c.d.org/1", "a.b.c.d.org/1/2"]
+    assert url.select(U.patterns_of(url["url"], 1, 0).alias("p")).first()["p"] == ["d.org"]
+
+
 def test_empty_tables(tables):
     captures, entries = tables
     assert U.evaluate(captures.limit(0), entries).count() == 0
