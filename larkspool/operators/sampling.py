@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from larkspool.fixed_values import SEED
 from larkspool.functions.draws import draw_key
@@ -26,6 +27,8 @@ SPREAD, WIDER = 6.0, 16.0
 #: Draw keys are compared with brackets by this many leading digits; "g" is behind all digits.
 _DIGITS = 12
 _BEHIND = "g"
+#: Quantiles that bracket the n-th row id; the rank error of a quantile is a tenth of their distance.
+QUANTILES = 1_000
 
 
 def _up_to(key: Column, row: Column, cut_key: Column, cut_row: Column) -> Column:
@@ -214,10 +217,40 @@ def shuffle_positions(df: DataFrame, row_id: str, seed: int = SEED) -> DataFrame
 def head(df: DataFrame, size: int | None, row_id: str) -> DataFrame:
     """The ``size`` rows with the smallest row ids; everything if there are no more.
 
-    Only row ids are sorted. The last one wanted becomes a range predicate, which
-    reaches the scan of ``df``.
+    The last id wanted becomes a range predicate, which reaches the scan of ``df``. Of integer
+    ids only those between two quantiles around it are sorted, others are sorted as a whole.
     """
     if not size:
         return df
-    last = positions(df.select(row_id), [row_id]).where(F.col("pos") == size - 1).first()
-    return df.where(F.col(row_id) <= F.lit(last[row_id])) if last else df
+    ids = df.select(F.col(row_id).alias("_own"))
+    if isinstance(ids.schema["_own"].dataType, IntegralType):
+        last = _nth(ids, size)
+    else:
+        last = positions(ids, ["_own"]).where(F.col("pos") == size - 1).first()
+    return df.where(F.col(row_id) <= F.lit(last["_own"])) if last else df
+
+
+def _nth(ids: DataFrame, n: int) -> Row | None:
+    """The n-th smallest of integers ``_own``; None if there are fewer.
+
+    One pass takes quantiles, merged from partial sketches; two more, both with a range predicate
+    on the scan, count the ids up to the bracket and sort those inside. If the n-th isn't inside, which
+    the counts show, the bracket gets wider.
+    """
+    grid = [k / QUANTILES for k in range(QUANTILES + 1)]
+    total, quantiles = ids.agg(F.count("_own"), F.percentile_approx("_own", grid, 10 * QUANTILES)).first()
+    if n > total:
+        return None
+    row, at, wide = F.col("_own"), n * QUANTILES // total, 1
+    while True:
+        low, high = at - wide, at + 1 + wide
+        below, inside = 0, ids
+        if low > 0:
+            below = ids.where(row <= quantiles[low]).count()
+            inside = inside.where(row > quantiles[low])
+        if high < QUANTILES:
+            inside = inside.where(row <= quantiles[high])
+        found = positions(inside.where(row.isNotNull()), ["_own"]).where(F.col("pos") == n - below - 1).first()
+        if found or (low <= 0 and high >= QUANTILES):
+            return found
+        wide *= 4

@@ -5,13 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A staged lookup table whose files have up to this many bytes is broadcast.
 BROADCAST_BYTES = 8 << 20
-#: Beyond that size, each lookup row is repeated this often so that one key spreads over many tasks.
-SALTS = 64
+#: Beyond that size, one salt of a key is for so many rows of the big side; the most frequent keys that may get salts.
+ROWS_PER_SALT, HEAVY_KEYS = 1_000_000, 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,16 +42,32 @@ def known_bytes(df: DataFrame) -> int:
 def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: str, how: str = "left") -> DataFrame:
     """Join ``big`` with a staged table that has at most one row per key.
 
-    Below the size limit ``small`` is broadcast and ``big`` does not move. Beyond
-    it both sides are shuffled on the keys plus a salt taken from the ``spread``
-    column, so a key that holds a large share of ``big`` is spread over many tasks.
+    Below the size limit ``small`` is broadcast and ``big`` does not move. Beyond it both
+    sides are shuffled on the keys. Keys of more than ROWS_PER_SALT rows of ``big``, which one
+    pass over its keys finds, get salts: their rows are dealt out by the ``spread`` column, and
+    only their lookup rows are repeated.
     """
     keys = list(keys)
     if known_bytes(small) <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), keys, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (
-        big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-        .join(salted, [*keys, "_salt"], how)
-        .drop("_salt")
-    )
+    salts = _salts(big, keys)
+    if salts is None:
+        return big.join(small, keys, how)
+    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
+def _salts(df: DataFrame, keys: Sequence[str]) -> Column | None:
+    """Salts of a row's keys by how many rows of ``df`` share them; None if no keys need more than one.
+
+    A frequent-items sketch of the keys' hash finds them: one partial sketch per task, no shuffle
+    of keys. Null keys have a hash like any other.
+    """
+    found = df.select(F.xxhash64(*keys).alias("_hash"))
+    top = found.agg(F.expr(f"approx_top_k(_hash, {HEAVY_KEYS}, {100 * HEAVY_KEYS})")).first()[0] or []
+    heavy = {r["item"]: -(-r["count"] // ROWS_PER_SALT) for r in top if r["count"] > ROWS_PER_SALT}
+    if not heavy:
+        return None
+    known = F.create_map(*(F.lit(x).cast("bigint") for pair in heavy.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.xxhash64(*keys)), F.lit(1)).cast("int")

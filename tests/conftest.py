@@ -25,11 +25,12 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(params=["large", "salted"])
 def strategy(request, monkeypatch):
-    """Run a test with small lookup tables broadcast and brackets that first miss most cuts, and with every lookup join salted."""
+    """Run a test with small lookup tables broadcast and brackets that first miss most cuts, and with every lookup join shuffled and salted."""
     from larkspool.operators import sampling, staging
 
     if request.param == "salted":
         monkeypatch.setattr(staging, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(staging, "ROWS_PER_SALT", 20)
     else:
         monkeypatch.setattr(sampling, "SPREAD", 0.02)
     return request.param

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from larkspool.operators import sampling
+from larkspool.operators import sampling, staging
 from larkspool.operators.ranks import positions
 from larkspool.operators.staging import stage
 from tests import models
@@ -106,6 +106,46 @@ def test_head(spark, strategy, size):
     assert ids(sampling.head(frame(spark, rows), size, "row_id")) == set(want)
 
 
+@pytest.mark.parametrize("size", [1, 4_000, 19_999, 20_000, 20_001])
+def test_head_sorts_only_a_bracket(spark, monkeypatch, size):
+    rows = stage(spark.range(20_000).select((F.col("id") * F.col("id") - 5_000).alias("row_id"), "id"), "head")
+    ranked = []
+    whole = sampling.positions
+    monkeypatch.setattr(sampling, "positions", lambda df, order: ranked.append(df.count()) or whole(df, order))
+    got = sampling.head(rows, size, "row_id").agg(F.count("id"), F.max("id")).first()
+    assert tuple(got) == (min(size, 20_000), min(size, 20_000) - 1)
+    assert all(n <= 100 for n in ranked)
+
+
+def test_head_widens_its_bracket(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "QUANTILES", 4)
+    real = F.percentile_approx
+    off = lambda c, grid, accuracy: real(c, [min(1.0, g + 0.3) for g in grid], accuracy)
+    monkeypatch.setattr(sampling.F, "percentile_approx", off)
+    assert ids(sampling.head(frame(spark, table()), 250, "row_id")) == set(sorted(r for r, _ in table())[:250])
+
+
+def test_head_of_other_ids(spark):
+    rows = spark.range(500).select(F.md5(F.col("id").cast("string")).alias("row_id"))
+    want = sorted(r["row_id"] for r in rows.collect())[:100]
+    assert sorted(r["row_id"] for r in sampling.head(rows, 100, "row_id").collect()) == want
+
+
+def test_only_heavy_keys_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(staging, "ROWS_PER_SALT", 100)
+    even = spark.range(1_000).select("id", (F.col("id") % 50).alias("k"))
+    hot = even.withColumn("k", F.when(F.col("id") < 350, 7).when(F.col("id") < 500, None).otherwise(F.col("k")))
+    small = stage(spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), "small")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan(staging.lookup_join(even, small, ["k"], "id"))
+    joined = staging.lookup_join(hot, small, ["k"], "id")
+    assert "_salt" in plan(joined)
+    salts = small.withColumn("s", staging._salts(hot, ["k"]))
+    assert {r["k"]: r["s"] for r in salts.collect() if r["s"] > 1} == {7: 4}
+    assert {(r["id"], r["v"]) for r in joined.collect()} == {(r["id"], None if r["k"] is None else 2 * r["k"]) for r in hot.collect()}
+
+
 def test_empty_table(spark, strategy):
     df = frame(spark, [(1, "a")]).where("row_id > 5")
     assert ids(sampling.proportional_sample(df, 10, "row_id")) == set()
