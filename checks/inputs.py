@@ -139,7 +139,7 @@ def expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 5, pair([key, "x"], [off, "*x"]))
         .otherwise(pair(["f(x) + ", key], [off, " + f(x)"]))
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", made.alias("pair")).select("o_orderkey", "o_custkey", "pair.*")
+    return texts(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", made.alias("pair")).select("o_orderkey", "o_custkey", "pair.*")
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,23 @@ def test_golden(spark):
     assert [(a, b, g) for (a, b, _), g in zip(GOLDEN, got)] == GOLDEN
 
 
+ZEROS = [
+    ("x/(1/(y-y))", "0", False), ("x/(y/0)+z", "z+x/(y/0)", False), ("(x/(y-y))^0", "1", False), ("x/2147483629+y", "y+x/2147483629", False),
+    ("(x/y)^(-2)", "y^2/x^2", True), ("1/(1/x+1/y)", "x*y/(x+y)", True), ("x/1.50e1-x/15", "0*x", True),
+]
+
+
+def test_fractions_and_zero_divisors(spark):
+    got = verdicts(spark, [(a, b) for a, b, _ in ZEROS])
+    assert [(a, b, g) for (a, b, _), g in zip(ZEROS, got)] == ZEROS
+
+
+def test_other_primes_only_for_pairs_equal_modulo_the_first(spark):
+    df = spark.createDataFrame([("x+1", "1+x")], "a string, b string")
+    plan = df.select(algebra_equal(F.col("a"), F.col("b")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "forall(" in plan and "zip_with(" not in plan
+
+
 def grown(dice, depth):
     """A random expression as (text, function of its names)."""
     if depth == 0 or dice.random() < 0.2:

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__
+from checks import inputs
 from checks.compare import connect, difference
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
@@ -32,5 +33,10 @@ def test_query(spark, db, name):
     assert difference(df, db, ORACLE[name]) is None
 
 
+@pytest.mark.parametrize("made", [inputs.expressions])
+def test_costly_rows_are_dealt_out(spark, made):
+    assert made(spark, SF_DIR).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
