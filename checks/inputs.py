@@ -192,7 +192,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.map_from_arrays(F.array(task), F.array(found)).alias("results"),
         F.struct(F.lit("sample").alias("note"), F.array(F.lit(1)).alias("versions")).alias("config"),
     )
-    return table(spark, sf_dir, "part").select(F.to_json(record).alias("value"))
+    return texts(spark, sf_dir, "part").select(F.to_json(record).alias("value"))
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:

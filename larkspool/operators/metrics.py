@@ -21,7 +21,8 @@ def pick_metric(task: Column, metrics: Column, keys: Mapping[str, Sequence[str]]
 
 def task_scores(results: DataFrame, keys: Mapping[str, Sequence[str]] = METRIC_KEYS) -> DataFrame:
     """One row (model, task, score) per known task of nested benchmark results."""
-    tasks = results.select("model", F.explode("results").alias("task", "metrics"))
+    # A plain explode infers a filter on the map's size, for which the map would be made twice.
+    tasks = results.select("model", F.explode_outer("results").alias("task", "metrics"))
     scored = tasks.where(F.col("task").isin(list(keys)))
     return scored.select("model", "task", pick_metric(F.col("task"), F.col("metrics"), keys).alias("score"))
 

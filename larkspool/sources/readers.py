@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from larkspool.fixed_values import MATH_SYSTEM_PROMPT
 from larkspool.functions.chat import chat_text
+from larkspool.operators.filters import compute_and_keep
 from larkspool.schemas import CURATED, RAW, RESULTS
 from larkspool.sources.lines import line_positions, numbered
 
@@ -65,8 +66,13 @@ def parse_results(records: DataFrame) -> DataFrame:
     out, as are tasks that are no objects. A blank line is no record; one that is no JSON
     object is an error. The literals NaN and Infinity, which some writers use, count as null.
     """
-    text = F.regexp_replace("value", r"(?<=[:\[,]\s{0,9})(?:NaN|-?Infinity)(?=\s*[,}\]])", "null")
-    whole = records.where(F.regexp_like("value", F.lit(r"\S"))).select(F.parse_json(text).alias("record"))
+    # The look-behind is tried at every character, so only where there is something to find.
+    literal = F.contains("value", F.lit("NaN")) | F.contains("value", F.lit("Infinity"))
+    plain = F.regexp_replace("value", r"(?<=[:\[,]\s{0,9})(?:NaN|-?Infinity)(?=\s*[,}\]])", "null")
+    text = F.when(literal, plain).otherwise(F.col("value"))
+    # A filter on the text would move below its making and make it twice, ahead of an exchange.
+    parsed = F.when(F.regexp_like("value", F.lit(r"\S")), F.parse_json(text))
+    whole = compute_and_keep(records, [], {"record": parsed}, lambda row: row["record"].isNotNull())
     broken = F.raise_error(F.concat(F.lit("no record: "), F.left(F.to_json("record"), F.lit(80))))
     checked = whole.select(F.when(F.startswith(F.schema_of_variant("record"), F.lit("OBJECT")), F.col("record")).otherwise(broken).alias("record"))
 

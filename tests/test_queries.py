@@ -33,10 +33,17 @@ def test_query(spark, db, name):
     assert difference(df, db, ORACLE[name]) is None
 
 
-@pytest.mark.parametrize("made", [inputs.expressions])
+@pytest.mark.parametrize("made", [inputs.expressions, inputs.results])
 def test_costly_rows_are_dealt_out(spark, made):
     assert made(spark, SF_DIR).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_results_are_parsed_once_and_behind_the_exchange(spark):
+    plan = QUERIES["metric_choice"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and "(size(" not in plan
+    below = plan[plan.index("Repartition") :]
+    assert "RLIKE" not in below and "StructsToJson" not in below
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
