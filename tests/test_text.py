@@ -15,6 +15,19 @@ def values(spark, column, rows, schema="a string, b string"):
     return [r[0] for r in df.select(column.alias("v")).collect()]
 
 
+def test_flat_boxes_need_no_fold(spark):
+    cases = {
+        "\\boxed{0} and \\boxed{ 7 }.": "7", "a\\b \\boxed \\boxed{1}\\": "1", "\\boxed{ }": "", "\\boxed{1}{}": "1",
+        "\\boxed{1}\n\\boxed{\n2}\n": "2", "\\boxed{1}\\boxed{2": "1", "\\boxed{1": "",
+    }
+    df = spark.createDataFrame(list(cases.items()), "text string, want string")
+    found = df.select("want", text.boxed_answer(F.col("text")).alias("got"))
+    assert [r for r in found.collect() if r.got != r.want] == []
+    # The pattern comes first, the fold is the other branch of its result.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("regexp_extract(text") < plan.index("aggregate(")
+
+
 def test_boxed_golden(spark):
     cases = {
         "\\boxed{1}\\boxed{": "1",
