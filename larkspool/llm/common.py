@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,6 +20,8 @@ from larkspool.operators.staging import stage
 
 #: A staged id table of up to this many bytes is broadcast; a larger one is joined by a shuffle.
 ID_BROADCAST_BYTES = 8 << 20
+#: A lookup table of which only a bound of its rows is known is broadcast up to this bound; copies of it that a hot key is dealt over.
+BROADCAST_ROWS, SALTS = 100_000, 16
 #: Words that a task remembers at a time.
 REMEMBERED_WORDS = 100_000
 #: Rows and bytes of a batch that a task turns into Python values at a time.
@@ -115,6 +117,28 @@ def join_by_id(docs: DataFrame, lookup: DataFrame, key: str, how: str) -> DataFr
     return joined.drop(own)
 
 
+def sized(lookup: DataFrame, most: int | None) -> DataFrame:
+    """``lookup`` with the hint for a join that its number of rows asks for, at most ``most`` (None: any number).
+
+    Catalyst goes by the size of compressed files and leaves out that an explode makes rows. It would
+    broadcast tables through the driver that are many times as large as its limit.
+    """
+    return F.broadcast(lookup) if most is not None and most <= BROADCAST_ROWS else lookup.hint("merge")
+
+
+def join_dealt(big: DataFrame, lookup: DataFrame, keys: list[str], deal: Column, most: int | None = None) -> DataFrame:
+    """``big`` with the rows of ``lookup`` of the same keys, which may have a large part of the rows of ``big``.
+
+    A ``lookup`` of few rows (``most``, if known) is broadcast as it is. Else its rows are copied for each
+    salt, over which ``deal`` (an integer) spreads the rows of ``big``, and both sides are shuffled.
+    """
+    if most is not None and most <= BROADCAST_ROWS:
+        return big.join(F.broadcast(lookup), keys)
+    dealt = big.withColumn("salt", F.pmod(deal, F.lit(SALTS)).cast("int"))
+    copies = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(sized(copies, None), [*keys, "salt"]).drop("salt")
+
+
 def give_back() -> None:
     """Return memory that earlier tasks of this Python worker have freed to the system, where the C library can."""
     gc.collect()
@@ -218,6 +242,6 @@ def extended(schema: StructType, extra: str, keep: list[str] | None = None) -> S
 
 
 __all__ = [
-    "FOLD", "FOLDED_WORD", "ensure_folder", "fresh", "join_by_id", "extended", "mix",
-    "pieces", "share", "signed", "small_batches", "stage", "stage_few", "staged_bytes", "utf8", "word_hashes",
+    "FOLD", "FOLDED_WORD", "ensure_folder", "fresh", "join_by_id", "join_dealt", "extended", "mix",
+    "pieces", "share", "signed", "sized", "small_batches", "stage", "stage_few", "staged_bytes", "utf8", "word_hashes",
 ]

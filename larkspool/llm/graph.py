@@ -5,17 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspool.llm.common import stage, stage_few
-
-#: Copies of a node's minimum that its links are dealt over.
-SALTS = 16
-
-
-def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
-    """``links`` (u, v) with ``m``, the least neighbour of u. The links of one node are spread by a salt."""
-    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return salted.join(copies, ["u", "salt"]).drop("salt")
+from larkspool.llm.common import join_dealt, stage, stage_few
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,10 +21,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stage_few(large, "large-star", most)
+        large = join_dealt(both, least, ["u"], F.xxhash64("v"), 2 * most).where("v > u")
+        large = stage_few(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star", most)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _with_least(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_dealt(large, least, ["u"], F.xxhash64("v"), most).where("v <> m")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         links = stage_few(small, "small-star", most)
         now = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()

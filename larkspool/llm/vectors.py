@@ -17,7 +17,8 @@ Pairs beyond are missed, unless all clusters are probed; the tests measure recal
 
 Identical vectors are one class with a weight. A cluster is compared in blocks of bounded
 size, so a hot one becomes many tasks; a block gives each vector's number of links and a
-spanning forest, never its pairs. Only centroids and cluster sizes pass through the driver.
+spanning forest, never its pairs. Only the sample, centroids, cluster sizes and lookup tables known
+to be small pass through the driver.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing. Every
 row counts as a vector; rows that repeat an id, with equal or different vectors, are counted
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspool.llm.common import share, stage
+from larkspool.llm.common import join_dealt, share, sized, stage
 from larkspool.llm.graph import components
 
 #: Vectors in the sample that centroids are fitted on, vectors per centroid aimed at, and centroids at most.
@@ -45,8 +46,8 @@ SAMPLE, PER_CENTROID, CENTROIDS = 20_000, 200, 1_024
 MARGIN, EPSILON = 3.0, 4.0
 #: Vectors of one block on either side.
 MEMBERS, PROBES = 512, 2_048
-#: Parts that a class or tree of many rows is dealt into.
-SALTS = 16
+#: Vectors of the sample that are compared with all centroids at a time.
+SLICE = 2_000
 SEED = 42
 _CODED = (
     "cluster int, member boolean, class_id long, weight long, home int, probes array<int>, code binary,"
@@ -105,7 +106,7 @@ def _fitted(sample: np.ndarray, n: int, threshold: float, margin: float | None =
     k = int(min(CENTROIDS, len(sample), max(1, n // PER_CENTROID)))
     centroids = sample[rng.choice(len(sample), k, replace=False)]
     for _ in range(8):
-        home = (sample @ centroids.T).argmax(axis=1)
+        home = np.concatenate([(sample[at : at + SLICE] @ centroids.T).argmax(axis=1) for at in range(0, len(sample), SLICE)])
         sums = np.zeros_like(centroids)
         np.add.at(sums, home, sample)
         norms = np.linalg.norm(sums, axis=1)
@@ -232,7 +233,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, margin: float |
     classes = stage(classes, "vector-classes")  # once written, class ids are fixed
 
     links = None
-    for dim, n in sorted((r["dim"], r["n"]) for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()):
+    dims = sorted((r["dim"], r["n"]) for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect())
+    total = sum(n for _, n in dims)
+    for dim, n in dims:
         some = _links(classes.where(F.col("dim") == dim), dim, n, threshold, margin)
         links = some if links is None else links.unionByName(some)
     if links is None:
@@ -243,21 +246,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, margin: float |
     counts = links.groupBy("class_id").agg(F.sum("n").alias("n"))
     per_class = (
         classes.drop("vector")
-        .join(counts, "class_id", "left")
-        .join(found, "class_id", "left")
+        .join(sized(counts, total), "class_id", "left")
+        .join(sized(found, total), "class_id", "left")
         .withColumn("tree", F.coalesce("tree", "class_id"))
         .withColumn("n_links", F.coalesce("n", F.lit(0)) + F.col("weight") - 1)
-        .select("hi", "lo", "dim", "tree", "vec_id", "n_links", F.pmod("class_id", F.lit(SALTS)).cast("int").alias("salt"))
+        .select("hi", "lo", "dim", "tree", "vec_id", "n_links", "class_id")
     )
     per_class = stage(per_class, "vector-trees")
-    # The least vector id of each tree; a tree with a third of all classes is spread by the salt.
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    least = per_class.groupBy("tree").agg(F.min("vec_id").alias("component_id")).withColumn("salt", every_salt)
-    per_class = per_class.join(least, ["tree", "salt"]).select("hi", "lo", "dim", "n_links", "component_id")
-    # Rows meet their class by a salt, so that a third of all rows in one class is spread.
-    per_class = per_class.withColumn("salt", every_salt)
-    salted = usable.select("vec_id", "dim", "hi", "lo", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = salted.join(per_class, ["dim", "hi", "lo", "salt"]).select("vec_id", "n_links", "component_id")
+    # The least vector id of each tree; a tree with a third of all classes is spread, and so are the rows of one class.
+    least = per_class.groupBy("tree").agg(F.min("vec_id").alias("component_id"))
+    per_class = join_dealt(per_class, least, ["tree"], F.col("class_id"), total)
+    per_class = per_class.select("hi", "lo", "dim", "n_links", "component_id")
+    out = join_dealt(usable.select("vec_id", "dim", "hi", "lo"), per_class, ["dim", "hi", "lo"], F.xxhash64("vec_id"), total)
+    out = out.select("vec_id", "n_links", "component_id")
     rest = rows.where("dim is null or vec_id is null")
     rest = rest.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.expr("vec_id = component_id"), F.lit(False)))
