@@ -18,8 +18,9 @@ from pyspark.sql.types import StructType
 
 from larkspool.operators.staging import stage
 
-#: A staged id table of up to this many bytes is broadcast; a larger one is joined by a shuffle.
-ID_BROADCAST_BYTES = 8 << 20
+#: A staged id table of up to this many bytes and rows is broadcast; a larger one is joined by a shuffle. Files don't show how
+#: large a table gets in memory: as a hash table a row takes some 100 bytes of the driver and of each executor.
+ID_BROADCAST_BYTES, ID_BROADCAST_ROWS = 8 << 20, 500_000
 #: A lookup table of which only a bound of its rows is known is broadcast up to this bound; copies of it that a hot key is dealt over.
 BROADCAST_ROWS, SALTS = 100_000, 16
 #: Words that a task remembers at a time.
@@ -106,11 +107,11 @@ def stage_few(df: DataFrame, label: str, most: int) -> DataFrame:
 def join_by_id(docs: DataFrame, lookup: DataFrame, key: str, how: str) -> DataFrame:
     """Join wide rows with a staged table of ids; a null id meets a null id.
 
-    If the staged files have at most ID_BROADCAST_BYTES the ids are broadcast and the
-    texts stay where they are; else both sides are shuffled by the id. The answer
-    is the same.
+    If the staged files have at most ID_BROADCAST_BYTES and ID_BROADCAST_ROWS the ids are
+    broadcast and the texts stay where they are; else both sides are shuffled by the id. The
+    answer is the same.
     """
-    small = staged_bytes(lookup) <= ID_BROADCAST_BYTES
+    small = staged_bytes(lookup) <= ID_BROADCAST_BYTES and lookup.count() <= ID_BROADCAST_ROWS
     own = fresh("lookup_id", [*docs.columns, *lookup.columns])
     lookup = lookup.withColumnRenamed(key, own)
     joined = docs.join(F.broadcast(lookup) if small else lookup.hint("merge"), docs[key].eqNullSafe(lookup[own]), how)

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspool.llm.common import join_by_id, mix, pieces, share, signed, stage, stage_few, utf8, word_hashes
+from larkspool.llm.common import join_by_id, join_dealt, mix, pieces, share, signed, sized, stage, stage_few, utf8, word_hashes
 from larkspool.llm.graph import components
 
 #: Documents in the sample that costs are measured on, and how many of them make an element frequent.
@@ -56,8 +56,6 @@ PAIR_COST = 2.0
 SMALL_GROUP, PIVOTS = 16, 4
 #: Members of one block of a large group, and 64-bit words of a sketch.
 BLOCK, SKETCH_WORDS = 256, 16
-#: Copies of a group's row that its members are dealt over.
-SALTS = 16
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -250,9 +248,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     # Equal sets are one node, the smallest id. Only sets that repeat are looked up.
     some = rows.where("n > 0 and doc_id is not null")
     equal = some.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"))
-    equal = equal.where("rep < other").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = some.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    copies = salted.join(equal, ["hi", "lo", "salt"]).where("rep < doc_id").select("doc_id", "rep")
+    equal = equal.where("rep < other")
+    copies = join_dealt(some, equal, ["hi", "lo"], F.xxhash64("doc_id"), total // 2)
+    copies = copies.where("rep < doc_id").select("doc_id", "rep")
     copies = stage_few(copies.distinct(), "join-copies", total)
     # An id of several sets stays a node of its own, linked with the node of each of them.
     several = some.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("low"), F.max(F.struct("hi", "lo")).alias("high"))
@@ -269,7 +267,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     met = met.groupBy("key", F.coalesce("rep", "node").alias("node")).agg(F.max("own").alias("own"), F.max("n").alias("n"))
     met = stage(met, "join-met")
     company = met.groupBy("node").agg(F.sum("n").alias("company"))
-    active = stage(met.join(company, "node").select("key", "node", "own", "company"), "join-active")
+    active = stage(met.join(sized(company, total), "node").select("key", "node", "own", "company"), "join-active")
 
     wanted = stage_few(active.select(F.col("node").alias("doc_id")).distinct(), "join-nodes", total)
     texts = stage(join_by_id(docs, wanted, "doc_id", "left_semi"), "join-texts")
@@ -283,14 +281,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     return out.unionByName(nameless)
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def _salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-
-
 def _linked(active: DataFrame, texts: DataFrame, tied: DataFrame, plan: Plan, size: int) -> DataFrame:
     """node, component of every node that links with another or is tied to one (u, v); a staged table.
 
@@ -304,10 +294,10 @@ def _linked(active: DataFrame, texts: DataFrame, tied: DataFrame, plan: Plan, si
     # All members of small groups; of others the one with the most company and some by chance, alike in all groups.
     chance = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("n") < F.lit(PIVOTS << 30)
     pivot = F.col("own") & ((F.col("n") <= SMALL_GROUP) | (F.col("node") == F.col("top")) | chance)
-    members = _salted(active).join(_spread(groups), ["key", "salt"]).withColumn("pivot", pivot)
-    members = stage(members.drop("salt", "top"), "join-members")
+    members = join_dealt(active, groups, ["key"], F.xxhash64("node")).withColumn("pivot", pivot)
+    members = stage(members.drop("top"), "join-members")
     first = members.where("pivot").select("key", F.col("node").alias("p"))
-    tried = _salted(members).join(_spread(first), ["key", "salt"]).where("p <> node and (p < node or not pivot)")
+    tried = join_dealt(members, first, ["key"], F.xxhash64("node")).where("p <> node and (p < node or not pivot)")
     # The same pair may come from many keys, either way round.
     tried = tried.groupBy(F.least("p", "node").alias("x"), F.greatest("p", "node").alias("y")).agg(F.max("p").alias("a"))
     tried = tried.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
@@ -362,7 +352,7 @@ def _near_in_blocks(rest: DataFrame, groups: DataFrame, texts: DataFrame, plan:
                 )
 
     sketches = stage(texts.select("doc_id", "text").mapInArrow(sketched, "node long, size int, sketch binary"), "join-sketches")
-    members = _salted(rest).join(_spread(groups), ["key", "salt"]).drop("salt")
+    members = join_dealt(rest, groups, ["key"], F.xxhash64("node"))
     members = members.join(sketches.dropDuplicates(["node", "size", "sketch"]).hint("merge"), "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from larkspool.llm import common, graph
+from larkspool.llm import ngram_join as N
 from larkspool.llm import vectors as V
 
 
@@ -28,7 +29,7 @@ def seen(monkeypatch):
         out.append((label, broadcasts(df)))
         return real(df, label)
 
-    for module in (common, graph, V):
+    for module in (common, graph, N, V):
         monkeypatch.setattr(module, "stage", stage)
     return out
 
@@ -72,3 +73,25 @@ def test_centroids_of_slices_are_those_of_the_whole(monkeypatch):
     whole = V._fitted(sample, 20_000, 0.95).centroids
     monkeypatch.setattr(V, "SLICE", 7)
     np.testing.assert_allclose(V._fitted(sample, 20_000, 0.95).centroids, whole, atol=1e-12)
+
+
+@pytest.mark.parametrize("most", [None, -1])
+def test_ngram_join(docs_of, seen, monkeypatch, most):
+    """Groups beyond SMALL_GROUP, so that blocks are compared as well."""
+    monkeypatch.setattr(N, "SMALL_GROUP", 2)
+    monkeypatch.setattr(N, "PIVOTS", 0)
+    monkeypatch.setattr(N, "BLOCK", 3)
+    if most is not None:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(common, "ID_BROADCAST_ROWS", most)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words, f"end{i}"])) for i in range(8)]
+    rows += [(100 + i, " ".join([*words[:30], *(f"x{i}y{j}" for j in range(30))])) for i in range(8)]
+    rows += [(200 + i, "a b c d e f") for i in range(5)] + [(300, "g h i j"), (201, "g h i j"), (None, "a b c d e f"), (400, None)]
+    out = N.near_duplicates(docs_of(rows), 3, 90, 100)
+    seen.append(("result", broadcasts(out)))
+    got = {(r["doc_id"], r["component_id"]) for r in out.collect()}
+    want = {(i, 0) for i in range(8)} | {(100 + i, 100 + i) for i in range(8)} | {(200 + i, 200) for i in range(5)}
+    assert got == want | {(300, 200), (None, None), (400, 400)}
+    assert not exploded(seen)
+    assert most is None or not [label for label, found in seen if found]
